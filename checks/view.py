@@ -19,7 +19,7 @@ DAY_ZERO = dt.date(1995, 1, 1)
 
 
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze-shaped quotes; weekdays only."""
+    """Bronze-shaped quotes, weekdays only, with the calendar-free maturity days / 365."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     quantity, discount = F.col("l_quantity"), F.col("l_discount")
     base = items.select(
@@ -54,7 +54,7 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("vega_1545"),
         F.concat(F.lit("UnderlyingOptionsEODCalcs_"), F.col("quote_date").cast("string"),
                  F.lit(".zip")).alias("source_zip"),
-        "exp_days",
+        (F.col("exp_days") / F.lit(365.0)).alias("tau_years"),
     )
 
 
@@ -67,14 +67,3 @@ def weekday_lookup(spark: SparkSession) -> DataFrame:
 def exchange_lookup(spark: SparkSession) -> DataFrame:
     sessions = cal.exchange_sessions(spark, CALENDAR_START, CALENDAR_END)
     return cal.session_lookup(cal.session_table(sessions), CALENDAR_START, CALENDAR_END)
-
-
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged panel with the calendar-free maturity exp_days / 365."""
-    quotes = raw_quotes(spark, sf_dir).withColumn("tau_years", F.col("exp_days") / F.lit(365.0))
-    panel = cal.add_decision_timestamp(pn.add_derived_fields(quotes), weekday_lookup(spark))
-    return pn.flag_quality(panel, RULES)
-
-
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pn.assign_grid_cell(pn.valid_rows(silver(spark, sf_dir)), GRID)

@@ -1,4 +1,4 @@
-"""Make the package importable in the executors' Python workers."""
+"""Prepare a session: ship the package to Python workers and set runtime options."""
 
 from __future__ import annotations
 
@@ -23,3 +23,24 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+# Runtime SQL options the operators are tuned for.
+RUNTIME_OPTIONS = {
+    # Generated methods above 8,000 bytecodes are never JIT-compiled by the JVM; below this
+    # limit Spark falls back to per-operator code, which it splits into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are few and costly after the surface stage, so partitions may be small.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_OPTIONS.items():
+        spark.conf.set(key, value)
+    ship_package(spark)
+    return spark

@@ -71,21 +71,32 @@ def _horner(x: Column, coefficients: Sequence[float]) -> Column:
     return value
 
 
-def norm_cdf(value: Column | str) -> Column:
-    """Standard normal distribution function, accurate to about 1e-15."""
-    x = col(value)
-    a = F.abs(x)
+def normal_tail(value: Column | str) -> Column:
+    """P(Z > |x|) for a standard normal Z, accurate to about 1e-15."""
+    a = F.abs(col(value))
     bell = F.exp(-a * a / 2.0)
     middle = bell * _horner(a, _HART_NUMERATOR) / _horner(a, _HART_DENOMINATOR)
     fraction = a + 0.65
     for step in (4.0, 3.0, 2.0, 1.0):
         fraction = a + F.lit(step) / fraction
-    tail = (
+    return (
         F.when(a > 37.0, F.lit(0.0))
         .when(a < _HART_SWITCH, middle)
         .otherwise(bell / fraction / _SQRT_TWO_PI)
     )
-    return F.when(F.isnan(x), x).when(x > 0.0, 1.0 - tail).otherwise(tail)
+
+
+def cdf_from_tail(value: Column | str, tail: Column | str) -> Column:
+    """Distribution function of x given normal_tail(x), kept in a column of its own so that
+    cdf(x) and cdf(-x) share it."""
+    x, t = col(value), col(tail)
+    return F.when(x > 0.0, 1.0 - t).otherwise(t)
+
+
+def norm_cdf(value: Column | str) -> Column:
+    """Standard normal distribution function; NaN stays NaN."""
+    x = col(value)
+    return F.when(F.isnan(x), x).otherwise(cdf_from_tail(x, normal_tail(x)))
 
 
 def norm_pdf(value: Column | str) -> Column:

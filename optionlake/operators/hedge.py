@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from optionlake import names as N
 from optionlake.functions.grid import DAYS_PER_YEAR, SurfaceGrid
-from optionlake.functions.sqlmath import count_at_or_below, norm_cdf, norm_pdf
+from optionlake.functions.sqlmath import (cdf_from_tail, count_at_or_below, norm_pdf,
+                                           normal_tail)
 
 DOMAIN_TOLERANCE = 1.0e-12
 TRADE_KEY = (N.SYMBOL, "model_name", N.DATE, N.TARGET_DATE)
@@ -142,12 +143,12 @@ def add_black_scholes(df: DataFrame, rate: float = 0.0) -> DataFrame:
     width = sigma * F.sqrt(tau)
     d1 = (F.ln(s / k) + (F.lit(rate) + sigma * sigma * 0.5) * tau) / width
     staged = df.withColumn("_width", F.when(live, width)).withColumn(
-        "_d1", F.when(live, d1)).withColumns({
-            "_n1": norm_cdf("_d1"), "_n2": norm_cdf(F.col("_d1") - F.col("_width")),
+        "_d1", F.when(live, d1)).withColumn("_d2", F.col("_d1") - F.col("_width")).withColumns({
+            "_tail1": normal_tail("_d1"), "_tail2": normal_tail("_d2"),
             "_disc": F.exp(-F.lit(rate) * tau)})
-    n1, n2, disc = F.col("_n1"), F.col("_n2"), F.col("_disc")
-    minus1 = norm_cdf(-F.col("_d1"))
-    minus2 = norm_cdf(F.col("_width") - F.col("_d1"))
+    disc = F.col("_disc")
+    n1, minus1 = cdf_from_tail("_d1", "_tail1"), cdf_from_tail(-F.col("_d1"), "_tail1")
+    n2, minus2 = cdf_from_tail("_d2", "_tail2"), cdf_from_tail(-F.col("_d2"), "_tail2")
     price = F.when(
         ~live, F.greatest(F.when(call, s - k).otherwise(k - s), F.lit(0.0))
     ).when(call, s * n1 - k * disc * n2).otherwise(k * disc * minus2 - s * minus1)
@@ -155,7 +156,7 @@ def add_black_scholes(df: DataFrame, rate: float = 0.0) -> DataFrame:
         ~live, F.when(s < k, -1.0).otherwise(0.0)).when(call, n1).otherwise(n1 - 1.0)
     vega = F.when(live, s * norm_pdf("_d1") * F.sqrt(tau)).otherwise(0.0)
     return staged.withColumns({"price": price, "delta": delta, "vega": vega}).drop(
-        "_width", "_d1", "_n1", "_n2", "_disc")
+        "_width", "_d1", "_d2", "_tail1", "_tail2", "_disc")
 
 
 def value_instruments(trades: DataFrame, grid: SurfaceGrid,
