@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -59,8 +60,11 @@ def differences(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
     theirs = _sorted(theirs_df.select(*columns).fetchall())
     if len(ours) != len(theirs):
         return f"{len(ours)} rows vs {len(theirs)}; first {ours[:1]} vs {theirs[:1]}"
-    wrong = [(a, b) for a, b in zip(ours, theirs) if a != b]
-    return f"{len(wrong)} of {len(ours)} rows differ, e.g. {columns} {wrong[0]}" if wrong else None
+    left, right = Counter(ours) - Counter(theirs), Counter(theirs) - Counter(ours)
+    if not left and not right:
+        return None
+    a, b = _sorted(list(left))[0], _sorted(list(right))[0]
+    return f"{sum(left.values())} of {len(ours)} rows differ, e.g. {columns} {a} vs {b}"
 
 
 def main() -> None:

@@ -219,7 +219,7 @@ GROUP BY ALL""")(
         F.count(F.lit(1)).alias("n_rows")))
 register("assign_grid_cell", FLAGGED + " maturity_index:i moneyness_index:i grid_domain_reason:s",
          "placed")(lambda run: run.assigned())
-register("total_variance_to_iv", FLAGGED + " iv:d8", """
+register("total_variance_to_iv", FLAGGED + " iv:d10", """
 SELECT *, sqrt(greatest(total_variance, 1E-8) / greatest(tau_years, 1E-12)) AS iv
 FROM flagged WHERE is_valid_observation""")(
     lambda run: panel.valid_rows(run.silver()).withColumn("iv", evaluate.total_variance_to_iv(
@@ -324,10 +324,10 @@ FROM feat""")(lambda run: cal.add_gap_sessions(
 # ---- surfaces -------------------------------------------------------------------------
 
 CELL = DAY + " cell_index:i maturity_days:i moneyness_point:d4"
-register("observed_surface", CELL + " observed_total_variance:d9 observed_iv:d8 vega_sum:d6 "
+register("observed_surface", CELL + " observed_total_variance:d9 observed_iv:d10 vega_sum:d6 "
          "observation_count:i weighted_spread_1545:d8 observed_mask:b", "dense")(
     lambda run: surface.observed_surface(run.assigned(), v.SETTINGS))
-register("complete_surface", CELL + " completed_total_variance:d9 completed_iv:d8 completion_status:s "
+register("complete_surface", CELL + " completed_total_variance:d9 completed_iv:d10 completion_status:s "
          "observed_mask:b effective_decision_timestamp:s", "gold")(
     lambda run: surface.gold_rows(surface.gold_days(run.assigned(), v.SETTINGS), run.grid))
 register("surface_build_summary", DAY + " valid_rows:i rows_inside_grid_domain:i "
@@ -517,8 +517,8 @@ FROM (SELECT *, CASE WHEN target_mask = 1 THEN target_vega ELSE 0.25E0 END AS w
         run.forecasts().join(run.features().select(*N.DAY, *features.TARGET_ARRAYS), list(N.DAY)),
         "predictions", 1.0, 0.25, (N.SYMBOL, "model_name", "split_id")))
 register("realization_panel", MODEL_DAY + " split_id:s cell_index:i predicted_total_variance:d9 "
-         "actual_completed_total_variance:d9 actual_completed_iv:d8 predicted_iv:d8 actual_iv_change:d8 "
-         "predicted_iv_change:d8 observed_weight:d6 actual_observed_mask:b actual_completion_status:s",
+         "actual_completed_total_variance:d9 actual_completed_iv:d10 predicted_iv:d10 actual_iv_change:d10 "
+         "predicted_iv_change:d10 observed_weight:d6 actual_observed_mask:b actual_completion_status:s",
          "joined")(lambda run: run.panel())
 register("panel_mismatches", "check_name:s n_rows:i", """
 SELECT unnest(['actual_effective_decision_timestamp', 'origin_effective_decision_timestamp',
@@ -658,7 +658,7 @@ def _valued(run: Run) -> DataFrame:
     return run.tables.get("valued", lambda: hedge.value_instruments(run.trades(), run.grid))
 
 
-register("surface_sigma", VALUED + " log_moneyness:d8 sigma:d8", "with_sigma")(_valued)
+register("surface_sigma", VALUED + " log_moneyness:d8 sigma:d10", "with_sigma")(_valued)
 register("black_scholes", VALUED + " price:d6 delta:d8 vega:d6", "priced")(_valued)
 register("value_book", MODEL_DAY + " state:s total_value:d6 total_delta:d7 total_vega:d5", """
 SELECT underlying_symbol, model_name, quote_date, target_date, state, sum(price) AS total_value,

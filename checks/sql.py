@@ -284,15 +284,24 @@ LEFT JOIN session_days x ON t.last_tradable_session = x.session_date
 
 # ---- features, splits, forecasts -------------------------------------------------------
 
-part("feat", """
+
+
+def _running(days: int) -> str:
+    """Mean of the last days in date order. A windowed avg adds in an order of the engine's
+    choosing, and its last-bit noise would decide violation counts of flat surfaces."""
+    terms = [f"lag(completed_total_variance, {k}) OVER l" for k in range(days - 1, 0, -1)]
+    return "(" + " + ".join([*terms, "completed_total_variance"]) + f") / {days}"
+
+
+part("feat", f"""
 SELECT * FROM (
   SELECT underlying_symbol, quote_date, cell_index, maturity_days, moneyness_point, tau,
          effective_decision_timestamp,
          lead(quote_date) OVER l AS target_date,
          lead(effective_decision_timestamp) OVER l AS target_effective_decision_timestamp,
          completed_total_variance AS mean_01,
-         avg(completed_total_variance) OVER (l ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean_05,
-         avg(completed_total_variance) OVER (l ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS mean_22,
+         {_running(5)} AS mean_05,
+         {_running(22)} AS mean_22,
          CAST(observed_mask AS INT) AS mask_01,
          avg(CAST(observed_mask AS INT)) OVER (l ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mask_05,
          avg(CAST(observed_mask AS INT)) OVER (l ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS mask_22,
