@@ -15,7 +15,7 @@ from optionlake import deploy
 from optionlake import names as N
 from optionlake.operators import calendar as cal
 from optionlake.operators import (compare, contracts, evaluate, features, forecast, hedge, panel,
-                                  report, shape, splits, surface)
+                                  pooled, report, shape, splits, surface)
 from optionlake.plans.pipeline import Run, RunSettings
 from optionlake.sources import quotes as qs
 from optionlake.sources import tables
@@ -470,7 +470,7 @@ SELECT unnest(['feature_surface_mean_01', 'feature_surface_mean_05', 'feature_su
  (SELECT count(*) FROM feat WHERE target_date <= quote_date) AS n_rows""")(
     lambda run: contracts.leakage_check(run.features()))
 register("walkforward_splits", "underlying_symbol:s split_id:s role:s quote_date:t", "split_rows")(
-    lambda run: run.splits())
+    lambda run: splits.walkforward_splits(run.features(), WALKFORWARD))
 register("clean_boundary", "underlying_symbol:s max_hpo_validation_date:t first_clean_test_split_id:s "
          "n_splits:i n_clean_splits:i", """
 SELECT underlying_symbol, max(max_hpo_validation_date) AS max_hpo_validation_date,
@@ -962,6 +962,25 @@ register("tuning_medians", "model_name:s median_observed_mse_total_variance:d9 n
     lambda run: forecast.tuning_medians(_scores(run), (MSE, QLIKE)))
 
 
+BLOCKS = splits.WalkforwardSettings(504, 126, 504, 504)
+
+
+def _pooled(run: Run, model: str, params: dict) -> DataFrame:
+    """Pooled learners walk forward in two-year blocks over the same dates."""
+    members = run.tables.get("block_splits", lambda: splits.walkforward_splits(
+        run.features(), BLOCKS))
+    made = pooled.pooled_forecasts(run.features(), members, model, "run", params, n_factors=3)
+    return forecast.write_forecasts_long(made, run.grid)
+
+
+register("forecast_forest", FITTED)(lambda run: _pooled(
+    run, "random_forest", {"n_estimators": 20, "max_depth": 6}))
+register("forecast_boosted", FITTED)(lambda run: _pooled(
+    run, "boosted", {"n_estimators": 20, "max_depth": 4}))
+register("forecast_pooled_ridge", FITTED)(lambda run: _pooled(run, "pooled_ridge", {"alpha": 0.01}))
+register("forecast_pooled_elasticnet", FITTED)(lambda run: _pooled(run, "pooled_elasticnet", {}))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -76,6 +76,8 @@ def elastic_net(x, lags, y, x_use, lags_use, n_cells, alpha=0.01, l1_ratio=0.1,
     target = y - y_mean
     gram, cross = train.T @ train, train.T @ target
     l1, l2 = alpha * l1_ratio * n, alpha * (1.0 - l1_ratio) * n
+    if l1 == 0.0:
+        return use @ np.linalg.solve(gram + l2 * np.eye(gram.shape[0]), cross) + y_mean, True
     energy = float((target * target).sum())
     steepest = float(np.linalg.eigvalsh(gram)[-1]) + l2
     root = np.sqrt(l2 / steepest)

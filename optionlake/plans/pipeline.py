@@ -81,7 +81,8 @@ class Run:
             self.gold(), self.grid, self.lookup(), self.settings.features))
 
     def splits(self) -> DataFrame:
-        return splits.walkforward_splits(self.features(), self.settings.walkforward)
+        return self.tables.get("splits", lambda: splits.walkforward_splits(
+            self.features(), self.settings.walkforward))
 
     def boundary(self) -> DataFrame:
         return splits.clean_boundary(self.splits(), self.settings.tuning_splits)
