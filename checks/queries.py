@@ -153,7 +153,8 @@ SELECT underlying_symbol, quote_date, count(*) AS n_cells,
        count(*) FILTER (observed_mask) AS observed_cells, sum(completed_total_variance) AS total
 FROM gold GROUP BY ALL""")
 def _read_gold(run: Run) -> DataFrame:
-    rows = surface.gold_rows(run.gold(), run.grid)
+    run.gold()
+    rows = tables.read_gold_surfaces(run.tables.spark, run.tables.path("gold"), run.grid)
     return rows.groupBy(*N.DAY).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_if("observed_mask").alias("observed_cells"),
         F.sum("completed_total_variance").alias("total"))
@@ -173,7 +174,8 @@ def _forecasts_long(run: Run) -> DataFrame:
 SELECT underlying_symbol, model_name, count(*) AS n_rows, sum(predicted_total_variance) AS total
 FROM fc GROUP BY ALL""")
 def _read_forecasts(run: Run) -> DataFrame:
-    rows = forecast.write_forecasts_long(run.forecasts(), run.grid)
+    run.forecasts()
+    rows = tables.read_forecasts(run.tables.spark, run.tables.path("forecasts"), run.grid)
     return rows.groupBy(N.SYMBOL, "model_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("predicted_total_variance").alias("total"))
 
@@ -930,6 +932,31 @@ JOIN (SELECT underlying_symbol, quote_date FROM
         run.gold().filter(F.col(N.DATE).isin(dt.date(1997, 3, 5), dt.date(1999, 7, 14))),
         run.gold(), run.grid))
 
+
+
+@register("stream_observed_surface", DAY + " cell_index:i observed_total_variance:d9 vega_sum:d6 "
+          "observation_count:i", """
+SELECT underlying_symbol, quote_date, maturity_index * 5 + moneyness_index AS cell_index,
+       observed_total_variance, vega_sum, observation_count
+FROM cells_seen
+WHERE quote_date + 1 <= (SELECT max(timezone('UTC', timezone('America/New_York',
+  quote_date + TIME '15:45:00'))) - INTERVAL 1 DAY FROM cells_seen)""")
+def _streamed(run: Run) -> DataFrame:
+    """The panel read as a stream until it is exhausted; days within the watermark stay open."""
+    spark, name = run.tables.spark, "stream_source"
+    source = run.tables.get(name, lambda: run.assigned().withColumn(
+        "decision_ts", F.to_timestamp(N.DECISION_TS)))
+    if "streamed" not in run.tables._written:
+        stream = spark.readStream.schema(source.schema).parquet(run.tables.path(name))
+        query = jobs.stream_observed_surface(stream, v.SETTINGS).writeStream.outputMode(
+            "append").format("parquet").option("path", run.tables.path("streamed")).option(
+            "checkpointLocation", run.tables.path("streamed_checkpoint")).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+        run.tables._written.add("streamed")
+    return spark.read.parquet(run.tables.path("streamed"))
+
+
 # ---- fitted models: no SQL form -------------------------------------------------------
 
 FITTED = ("underlying_symbol:s model_name:s quote_date:t target_date:t split_id:s cell_index:i "

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from optionlake import names as N
+from optionlake.functions.grid import SurfaceGrid
+from optionlake.operators.contracts import (check_grid_complete, check_grid_metadata,
+                                            check_unique_keys, require_empty)
+from optionlake.operators.evaluate import assert_equal_coverage
+from optionlake.operators.forecast import write_forecasts_long
+from optionlake.operators.surface import gold_rows
 
 
 def write_day_partitions(df: DataFrame, path: str, spread: int | None = None) -> None:
@@ -33,12 +39,23 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path).withColumn(N.DATE, F.col(N.DATE).cast("date")).drop("year")
 
 
-def read_gold_surfaces(spark: SparkSession, path: str) -> DataFrame:
-    return read_panel(spark, path)
+def read_gold_surfaces(spark: SparkSession, path: str, grid: SurfaceGrid) -> DataFrame:
+    """Stored surfaces (one array row per day) in long form, after their contracts hold."""
+    days = spark.read.parquet(path)
+    require_empty(check_unique_keys(days, N.DAY), "gold surfaces repeat a day")
+    require_empty(check_grid_metadata(days, grid).filter("n_rows > 0"), "gold grid identity")
+    rows = gold_rows(days, grid)
+    require_empty(check_grid_complete(rows, grid), "gold surfaces are not whole")
+    return rows
 
 
-def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
-    return read_panel(spark, path)
+def read_forecasts(spark: SparkSession, path: str, grid: SurfaceGrid) -> DataFrame:
+    """Stored forecast surfaces in long form, after grid and equal-coverage checks."""
+    days = spark.read.parquet(path)
+    require_empty(check_grid_metadata(days, grid).filter("n_rows > 0"), "forecast grid identity")
+    rows = write_forecasts_long(days, grid)
+    require_empty(assert_equal_coverage(rows), "forecast models cover different cells")
+    return rows
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
