@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +39,16 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-@cache
-def _run(application: str, sf_dir: str) -> Run:
-    spark = SparkSession.getActiveSession()
-    return Run(lambda: v.raw_quotes(spark, sf_dir), SETTINGS, StageTables(spark))
+_runs: dict[tuple[str, str], Run] = {}
 
 
 def run_for(spark: SparkSession, sf_dir: str) -> Run:
+    """The run of an application over one data folder; its stage tables are shared."""
     deploy.prepare(spark)
-    return _run(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _runs:
+        _runs[key] = Run(lambda: v.raw_quotes(spark, sf_dir), SETTINGS, StageTables(spark))
+    return _runs[key]
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -989,6 +989,22 @@ register("tuning_medians", "model_name:s median_observed_mse_total_variance:d9 n
     lambda run: forecast.tuning_medians(_scores(run), (MSE, QLIKE)))
 
 
+
+
+@register("check_sweep_policy", "underlying_symbol:s distinct_n_splits:i distinct_loss_metric:i "
+          "distinct_max_hpo_validation_date:i distinct_first_clean_test_split_id:i", """
+SELECT DISTINCT underlying_symbol, 2 AS distinct_n_splits, 1 AS distinct_loss_metric,
+       1 AS distinct_max_hpo_validation_date, 1 AS distinct_first_clean_test_split_id
+FROM edges WHERE underlying_symbol = 'BBB'""")
+def _sweep_policy(run: Run) -> DataFrame:
+    """The sweep's models with one underlying's record spoiled for one model."""
+    swept = forecast.validation_sweep(_scores(run)).join(
+        run.boundary().drop("n_splits"), N.SYMBOL).withColumn("loss_metric", F.lit(MSE))
+    spoiled = (F.col(N.SYMBOL) == "BBB") & (F.col("model_name") == "ridge")
+    return forecast.check_sweep_policy(swept.withColumn(
+        "n_splits", F.col("n_splits") - spoiled.cast("int")))
+
+
 BLOCKS = splits.WalkforwardSettings(504, 126, 504, 504)
 
 

@@ -17,18 +17,13 @@ from optionlake.operators.forecast import write_forecasts_long
 from optionlake.operators.surface import gold_rows
 
 
-def write_day_partitions(df: DataFrame, path: str, spread: int | None = None) -> None:
+def write_day_partitions(df: DataFrame, path: str) -> None:
     """Replace the days present in df and leave every other day of the table alone.
 
-    Rows are shuffled by day plus a spread number, so a day with very many rows is written
-    by several tasks; without `spread` adaptive execution splits oversized partitions.
+    The rebalance by day gives small days one file and lets adaptive execution split a day
+    that holds very many rows over several tasks.
     """
-    dated = df.withColumn("year", F.year(N.DATE))
-    if spread is None:
-        placed = dated.hint("rebalance", N.DATE)
-    else:
-        placed = dated.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(spread))) \
-            .repartition(N.DATE, "_s").drop("_s")
+    placed = df.withColumn("year", F.year(N.DATE)).hint("rebalance", N.DATE)
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "compression", "zstd").partitionBy("year", N.DATE).parquet(path)
 

@@ -113,8 +113,6 @@ def test_partition_write_replaces_only_its_days(spark, folder):
     tables.write_day_partitions(rows.filter("x = 2").withColumn("x", F.lit(5.0)), path)
     back = {r.quote_date: r.x for r in tables.read_panel(spark, path).collect()}
     assert back == {dt.date(2021, 1, 4): 1.0, dt.date(2021, 1, 5): 5.0}
-    tables.write_day_partitions(rows, f"{folder}/spread", spread=4)
-    assert tables.read_panel(spark, f"{folder}/spread").count() == 2
 
 
 def test_report_tables_show_six_decimals(spark, folder):
