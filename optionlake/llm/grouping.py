@@ -1,11 +1,12 @@
 """Links inside candidate buckets and the groups they make, without emitting all pairs.
 
 Distances 1 - J obey the triangle inequality (J: Jaccard similarity, plain or weighted). In each
-round every bucket names a leader and compares its members with it only. Members that reach the
-threshold are linked to the leader. One that stays below it can reach a member already linked
-only if its own similarity to the leader is near enough, so just those pairs are compared; the
-members below the threshold go on to the next round with a new leader. No pair of a bucket that
-reaches the threshold is lost, other than between nodes which are already connected.
+round every bucket names leaders (one, then 4, 16, ...) and compares its members with them only.
+Members that reach the threshold are linked to a leader. One that stays below it can reach a
+member linked to that leader only if its own similarity to the leader is near enough, so just
+those pairs are compared; the members below the threshold for every leader go on to the next
+round. No pair of a bucket that reaches the threshold is lost, other than between nodes which are
+already connected.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optionlake.sources.stages import StageTables
@@ -62,35 +64,37 @@ def bucket_links(
     """
     links, groups, number = None, None, 0
     while True:
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"),
-                                                F.count("*").alias("n")).filter("n > 1")
-        led = stages.get(f"{name}-led-{number}", lambda: members.join(
-            leaders.drop("n"), "bucket").filter("node <> leader"))
+        if number == 0:
+            leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"),
+                                                    F.count("*").alias("n")).filter("n > 1").drop("n")
+        else:
+            rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+            leaders = members.withColumn("rank", rank).filter(F.col("rank") <= 4 ** number).select(
+                "bucket", F.col("node").alias("leader"))
+        led = stages.get(f"{name}-led-{number}", lambda: members.join(leaders, "bucket").filter(
+            "node > leader"))
         if led.isEmpty():
             break
         pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         scored = stages.get(f"{name}-scored-{number}", lambda: verify(pairs))
         found = scored.filter(F.col("sim") >= threshold).select("a", "b")
         links = found if links is None else links.union(found)
-        groups = components(stages, links, f"{name}-groups-{number}")
+        groups = groups or components(stages, links, f"{name}-first")
         known = led.join(scored.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"])
-        known = stages.get(f"{name}-known-{number}", lambda: known.join(groups, "node", "left").select(
-            "bucket", "node", "leader", "sim", F.coalesce("component", "node").alias("component")))
-        below = known.filter(F.col("sim") < threshold)
-        ring = below.filter(F.col("sim") >= 2 * threshold - 1).select(
-            "bucket", F.col("node").alias("a"), F.col("sim").alias("sim_a"),
-            F.col("component").alias("of_a"))
-        near = known.filter(F.col("sim") >= threshold).select(
-            "bucket", F.col("node").alias("b"), F.col("sim").alias("sim_b"),
-            F.col("component").alias("of_b"))
-        across = ring.join(near, "bucket").filter(
-            (F.col("sim_b") - F.col("sim_a") <= 1 - threshold) & (F.col("of_a") != F.col("of_b")))
+        placed = known.filter(F.col("sim") >= 2 * threshold - 1).join(groups, "node", "left").select(
+            "bucket", "leader", "node", "sim", F.coalesce("component", "node").alias("group"))
+        ring = placed.filter(F.col("sim") < threshold).withColumnsRenamed(
+            {"node": "a", "sim": "sim_a", "group": "group_a"})
+        near = placed.filter(F.col("sim") >= threshold).withColumnsRenamed(
+            {"node": "b", "sim": "sim_b", "group": "group_b"})
+        across = ring.join(near, ["bucket", "leader"]).filter(
+            (F.col("sim_b") - F.col("sim_a") <= 1 - threshold) & (F.col("group_a") != F.col("group_b")))
         more = stages.get(f"{name}-ring-{number}", lambda: verify(
             across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         links = links.union(more.filter(F.col("sim") >= threshold).select("a", "b"))
-        open_ = below.groupBy("bucket").agg(F.min("component").alias("low"),
-                                            F.max("component").alias("high")).filter("low <> high")
-        members = below.select("bucket", "node").join(open_.select("bucket"), "bucket", "left_semi")
+        done = known.filter(F.col("sim") >= threshold).select("bucket", "node").union(
+            led.select("bucket", F.col("leader").alias("node"))).distinct()
+        members = led.select("bucket", "node").distinct().join(done, ["bucket", "node"], "left_anti")
         number += 1
     if links is None:
         return members.select("node", F.col("node").alias("component")).limit(0)

@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Signatures are minima of hashed character shingles: those of up to ``anchor`` characters which
-begin at a word, so both lines choose the same ones. Lines that agree in a band of signatures are
-compared by the exact Jaccard similarity of all their character ``gram``-grams (a line shorter
-than that is one gram). A distributed union-find turns the links into components; of each
-component, copies included, the first line in the order (doc_id, line number) stays.
+The character shingles of a line have content-defined ends: each runs from the start of a word to
+the end of the next one, and the last is the last word alone (words: what single spaces part).
+Signatures are minima of their hashes. Lines that agree in a band of signatures are compared by
+the exact Jaccard similarity of their whole shingle sets. A distributed union-find turns the links
+into components; of each component, copies included, the first line in the order (doc_id, line
+number) stays.
 
 Lines are parts between newlines. Blank ones always stay. Null texts stay null and have no lines.
 Rows that share doc_id and text are one document: they lose and keep the same lines. Nulls in
@@ -24,10 +25,8 @@ from optionlake.sources.stages import StageTables
 
 @dataclass(frozen=True)
 class LineSettings:
-    anchor: int = 14
-    gram: int = 5
     bands: int = 8
-    rows: int = 2
+    rows: int = 3
     threshold: float = 0.8
 
 
@@ -38,29 +37,28 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.filter("line rlike '[^ \\t-\\r]'").withColumn("node", F.xxhash64("line"))
 
 
+def _shingles(line: str) -> Column:
+    """Array of (word, next word); the characters between are one space."""
+    following = F.split(F.expr(f"substring({line}, instr({line}, ' ') + 1)"), " ")
+    return F.arrays_zip(F.split(line, " ").alias("a"), following.alias("b"))
+
+
 def _signatures(docs: DataFrame, settings: LineSettings) -> DataFrame:
-    """(node, keys): the band keys of each distinct line."""
-    pattern = rf"(?s)(?<![^ ])(?=([^ ].{{0,{settings.anchor - 1}}}))"
-    count = settings.bands * settings.rows
-    shingles = _lines(docs).select("node", F.explode(F.regexp_extract_all(
-        "line", F.lit(pattern), F.lit(1))).alias("shingle")).select(
-            "node", F.xxhash64("shingle").alias("h"))
-    least = shingles.groupBy("node").agg(*(
-        F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(count)))
+    """(node, bucket): the band keys of each distinct line."""
+    hashes = _lines(docs).select("node", F.inline(_shingles("line"))).select(
+        "node", F.xxhash64("a", "b").alias("h"))
+    least = hashes.groupBy("node").agg(*(F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}")
+                                         for k in range(settings.bands * settings.rows)))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * settings.rows + r}" for r in range(settings.rows)))
             for b in range(settings.bands)]
     return least.select("node", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def _grams(line: Column, gram: int) -> Column:
-    many = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < gram, F.array(line)).otherwise(many))
-
-
 def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
                 stages: StageTables) -> DataFrame:
     """(node, component) of the lines that are similar to another line."""
-    keyed = _signatures(docs, settings)
+    # dealt by bucket once: the count and the members below read the same shuffle
+    keyed = _signatures(docs, settings).repartition("bucket")
     shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = stages.get("shared", lambda: keyed.join(shared, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
@@ -70,11 +68,11 @@ def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
     def verify(pairs: DataFrame) -> DataFrame:
         right = lines.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
         left = lines.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-        grams = pairs.join(right, "b").join(left, "a").select(
-            "a", "b", _grams(F.col("line_a"), settings.gram).alias("ga"),
-            _grams(F.col("line_b"), settings.gram).alias("gb"))
-        both = F.size(F.array_intersect("ga", "gb"))
-        return grams.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("sim"))
+        sets = pairs.join(right, "b").join(left, "a").select("a", "b", *(
+            F.array_distinct(F.transform(_shingles(f"line_{x}"), lambda s: F.xxhash64(s["a"], s["b"])))
+            .alias(f"of_{x}") for x in "ab"))
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        return sets.select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("sim"))
 
     return bucket_links(stages, members, verify, settings.threshold, "lines")
 
