@@ -214,12 +214,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame,
     return placed.join(sizes, "class", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(True)).alias("stays"))
+        (F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
 def representatives(spark: SparkSession, docs: DataFrame,
                     settings: NearSettings = NearSettings()) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each group, and rows without text."""
+    """The rows of ``docs``, all columns, that stay: one of each group; rows without text or id."""
     gone = near_duplicates(spark, docs, settings).filter(~F.col("stays")).select(
         F.col("doc_id").alias("gone_doc")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_doc"], "left_anti")
