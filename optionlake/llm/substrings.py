@@ -1,8 +1,8 @@
 """Substring dedup by relative Lempel-Ziv parsing of each document against all earlier text.
 
 The reference is the whole table in the order (doc_id, start). Its index holds windows of ``width``
-words by 128-bit fingerprint, in as many blocks as the shuffle has partitions, so each document is
-looked up in every block at once. Greedy parsing joins consecutive windows which continue the same
+words by fingerprint, in as many blocks as the shuffle has partitions, so each document is looked
+up in every block at once; a block is sorted, and streams past each window's first occurrence. Greedy parsing joins consecutive windows which continue the same
 earlier occurrence to one factor; a factor has ``width`` words or more and is a duplicate span.
 Factors are checked at their boundaries: a window that spans two factors is looked up by itself.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optionlake.llm import textbytes
@@ -89,10 +90,9 @@ def _window_rows(width: int, seed: int, bits: int, bitmap: np.ndarray):
                 hit = (bitmap[entries >> 6] >> (entries & 63).astype(np.uint64) & np.uint64(1)) > 0
                 starts, rows = starts[hit], rows[hit]
                 ends = starts + width
-                first = textbytes.Rolling(words, 1).spans(starts, ends)
-                second = textbytes.Rolling(chunk.word_hashes(1), 0).spans(starts, ends)
+                windows = textbytes.Rolling(words, 1).spans(starts, ends)
                 yield pa.record_batch({
-                    "h1": first.view(np.int64), "h2": second.view(np.int64), "doc": ids[low + rows],
+                    "window": windows.view(np.int64), "doc": ids[low + rows],
                     "place": keys[low + rows] << 32 | starts - chunk.word_bounds[:-1][rows]})
     return build
 
@@ -106,14 +106,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED,
     """
     bitmap = repeated_anchors(docs, width, seed, bits)
     windows = docs.mapInArrow(_window_rows(width, seed, bits, bitmap),
-                              "h1 long, h2 long, doc long, place long")
-    firsts = windows.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).filter(
-            "n > 1").select("h1", "h2", "first")
-    later = windows.join(firsts, ["h1", "h2"]).filter(F.struct("doc", "place") > F.col("first"))
-    start, low = "cast(place & 4294967295 as int)", "cast(first.place & 4294967295 as int)"
+                              "window long, doc long, place long")
+    earlier = W.partitionBy("window").orderBy("doc", "place").rowsBetween(W.unboundedPreceding, 0)
+    later = windows.select("doc", "place", F.first("doc").over(earlier).alias("ref_doc"),
+                           F.first("place").over(earlier).alias("ref_place")).filter(
+                               "doc > ref_doc or place > ref_place")
+    start, low = "cast(place & 4294967295 as int)", "cast(ref_place & 4294967295 as int)"
     return later.groupBy("doc", F.shiftright("place", 32).alias("key")).agg(F.sort_array(
-        F.collect_list(F.struct(F.expr(start).alias("start"), F.col("first.doc").alias("ref_doc"),
+        F.collect_list(F.struct(F.expr(start).alias("start"), "ref_doc",
                                 F.expr(low).alias("ref_start")))).alias("found"))
 
 
