@@ -36,8 +36,8 @@ class NearSettings:
 
     width: int = 5
     threshold: float = 0.8
-    bands: int = 12
-    rows: int = 4
+    bands: int = 16
+    rows: int = 6
     idf_strength: float = 0.25
 
 
