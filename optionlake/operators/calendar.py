@@ -215,14 +215,21 @@ def add_decision_timestamp(df: DataFrame, lookup: DataFrame) -> DataFrame:
 
 def add_last_tradable(df: DataFrame, lookup: DataFrame,
                       rules: MarketRules = MarketRules()) -> DataFrame:
-    """Session on which the contract last trades: one earlier for AM-settled roots."""
+    """Session on which the contract last trades: one earlier for AM-settled roots.
+
+    An expiration outside the calendar is an error.
+    """
     settled = with_session(df, lookup, "expiration", ("settlement_session",), "_")
     side = lookup.select(F.col("calendar_date").alias("_day"),
                          F.col("previous_session").alias("_before"))
     joined = settled.join(F.broadcast(side), F.col("_settlement_session") == F.col("_day"), "left")
     last = F.when(F.col("root").isin(*rules.am_settled_roots), F.col("_before")) \
         .otherwise(F.col("_settlement_session"))
-    return joined.withColumn("last_tradable_session", last) \
+    unresolved = F.raise_error(F.concat(
+        F.lit("the calendar has no session for expiration "),
+        F.col("expiration").cast("string"))).cast("date")
+    checked = F.when(F.col("expiration").isNotNull() & last.isNull(), unresolved).otherwise(last)
+    return joined.withColumn("last_tradable_session", checked) \
         .drop("_day", "_before", "_settlement_session")
 
 

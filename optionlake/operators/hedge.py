@@ -202,7 +202,10 @@ def value_book(valued: DataFrame) -> DataFrame:
 
 
 def hedge_trades(forecast_days: DataFrame, gold_days: DataFrame, spots: DataFrame) -> DataFrame:
-    """Trades with their surfaces and spots: three equi-joins on day keys."""
+    """Trades with their surfaces and spots: three equi-joins on day keys.
+
+    A forecast whose origin or target day has no surface or spot is an error, never dropped.
+    """
     states = gold_days.select(*N.DAY, "completed_total_variance").join(
         spots.select(*N.DAY, "spot"), list(N.DAY), "inner")
     origin = states.select(*N.DAY, F.col("spot").alias("spot_t"),
@@ -211,7 +214,14 @@ def hedge_trades(forecast_days: DataFrame, gold_days: DataFrame, spots: DataFram
                            F.col("spot").alias("spot_t1"),
                            F.col("completed_total_variance").alias("actual_t1"))
     return forecast_days.select(*TRADE_KEY, F.col("predictions").alias("predicted")).join(
-        origin, list(N.DAY), "inner").join(target, [N.SYMBOL, N.TARGET_DATE], "inner")
+        origin, list(N.DAY), "left").join(target, [N.SYMBOL, N.TARGET_DATE], "left").select(
+            *TRADE_KEY, "predicted", *(_present(c) for c in (
+                "spot_t", "actual_t", "spot_t1", "actual_t1")))
+
+
+def _present(column: str) -> Column:
+    return F.when(F.col(column).isNull(), F.raise_error(F.lit(
+        f"a forecast day has no {column}"))).otherwise(F.col(column)).alias(column)
 
 
 def _hedge_sums(valued: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

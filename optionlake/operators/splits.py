@@ -89,7 +89,8 @@ def clean_boundary(splits: DataFrame, tuning_splits: int) -> DataFrame:
     clean = F.col("first_test") > F.col("max_hpo_validation_date")
     return edges.groupBy(N.SYMBOL).agg(
         F.max("max_hpo_validation_date").alias("max_hpo_validation_date"),
-        F.min(F.when(clean, F.col("split_id"))).alias("first_clean_test_split_id"),
+        F.min_by(F.when(clean, F.col("split_id")), F.when(clean, F.col("split_no"))).alias(
+            "first_clean_test_split_id"),
         F.count(F.lit(1)).alias("n_splits"),
         F.count_if(clean).alias("n_clean_splits"))
 

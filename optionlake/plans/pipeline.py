@@ -7,13 +7,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from optionlake import names as N
 from optionlake.functions.grid import SurfaceSettings
 from optionlake.operators import calendar as cal
 from optionlake.operators import compare, evaluate, forecast, hedge, panel, splits, surface
 from optionlake.operators.features import FeatureSettings, build_features
 from optionlake.sources.stages import StageTables
 
+#: Enough days for the session before the first date and the target after the last one.
+CALENDAR_PADDING = dt.timedelta(days=31)
+
 
 @dataclass(frozen=True)
 class RunSettings:
@@ -30,8 +35,9 @@ class RunSettings:
     positive_floor: float = 1.0e-8
     run_id: str = "run"
     fitted: tuple[forecast.FitPlan, ...] = ()
-    calendar_start: dt.date = dt.date(2003, 12, 1)
-    calendar_end: dt.date = dt.date(2024, 12, 31)
+    # NULL: from the quotes, with CALENDAR_PADDING on both sides
+    calendar_start: dt.date | None = None
+    calendar_end: dt.date | None = None
     sessions: Callable | None = field(default=None, compare=False)
 
 
@@ -43,14 +49,27 @@ class Run:
         self._bronze = bronze
         self.settings = settings
         self.tables = tables
+        self._span: tuple[dt.date | None, dt.date | None] | None = None
         self.grid = settings.surface.grid
 
     def lookup(self) -> DataFrame:
-        s = self.settings
-        make = s.sessions or cal.exchange_sessions
-        sessions = make(self.tables.spark, s.calendar_start, s.calendar_end)
-        return cal.session_lookup(cal.session_table(sessions, s.market), s.calendar_start,
-                                  s.calendar_end)
+        make = self.settings.sessions or cal.exchange_sessions
+        start, end = self.calendar_span()
+        sessions = make(self.tables.spark, start, end)
+        return cal.session_lookup(cal.session_table(sessions, self.settings.market), start, end)
+
+    def calendar_span(self) -> tuple[dt.date, dt.date]:
+        """The configured span, or the dates of the quotes and expirations with padding."""
+        start, end = self.settings.calendar_start, self.settings.calendar_end
+        if start is None or end is None:
+            if self._span is None:
+                quotes = self.bronze()
+                last = [F.max(c) for c in (N.DATE, "expiration") if c in quotes.columns]
+                found = quotes.agg(F.min(N.DATE).alias("low"), F.greatest(*last, last[0]).alias("high"))
+                self._span = tuple(found.first())
+            low, high = (d or dt.date(2004, 1, 1) for d in self._span)
+            start, end = start or low - CALENDAR_PADDING, end or high + CALENDAR_PADDING
+        return start, end
 
     def bronze(self) -> DataFrame:
         return self.tables.get("bronze", self._bronze)

@@ -68,7 +68,7 @@ def _open_member(path: str, content: bytes) -> tuple[zipfile.ZipFile, str]:
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stream each file's single CSV out of its zip in Arrow blocks."""
     options = pacsv.ConvertOptions(column_types=_ARROW, include_columns=list(RAW_COLUMNS),
-                                   null_values=[""], strings_can_be_null=False)
+                                   null_values=[""], strings_can_be_null=True)
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"]):
             archive, member = _open_member(path, content.as_buffer().to_pybytes())

@@ -17,15 +17,17 @@ from optionlake.operators.forecast import write_forecasts_long
 from optionlake.operators.surface import gold_rows
 
 
-def write_day_partitions(df: DataFrame, path: str) -> None:
+def write_day_partitions(df: DataFrame, path: str, within: tuple[str, ...] = ()) -> None:
     """Replace the days present in df and leave every other day of the table alone.
 
+    With ``within`` (columns) only those parts of a day are replaced which df has rows of.
+
     The rebalance by day gives small days one file and lets adaptive execution split a day
     that holds very many rows over several tasks.
     """
     placed = df.withColumn("year", F.year(N.DATE)).hint("rebalance", N.DATE)
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", "zstd").partitionBy("year", N.DATE).parquet(path)
+        "compression", "zstd").partitionBy("year", N.DATE, *within).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

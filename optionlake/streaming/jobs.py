@@ -17,8 +17,12 @@ from optionlake.sources.quotes import RAW_GLOB, bronze_rows, unzip_quotes
 from optionlake.sources.tables import write_day_partitions
 
 
+#: A day's folder holds one part for each zip and underlying, so other files of the day stay.
+INGEST_PARTS = ("source_zip", N.SYMBOL)
+
+
 def _replace_days(batch: DataFrame, _: int, path: str) -> None:
-    write_day_partitions(batch, path)
+    write_day_partitions(batch, path, INGEST_PARTS)
 
 
 def stream_ingest(spark: SparkSession, folder: str, bronze_path: str, checkpoint: str,
@@ -26,8 +30,8 @@ def stream_ingest(spark: SparkSession, folder: str, bronze_path: str, checkpoint
                   glob: str = RAW_GLOB, max_files: int = 1000) -> StreamingQuery:
     """Ingest the zips that have not been ingested yet, then stop.
 
-    The checkpoint remembers files; rewriting a day replaces its partition, so a repeated
-    batch changes nothing.
+    The checkpoint remembers files; a batch replaces only the parts of a day that come from its
+    own zips and underlyings, so a repeated batch changes nothing and other files are kept.
     """
     schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("modificationTime",
