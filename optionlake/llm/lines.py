@@ -62,17 +62,17 @@ def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
     shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = stages.get("shared", lambda: keyed.join(shared, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
-    lines = stages.get("lines", lambda: _lines(docs).select("node", "line").join(
-        wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # the shingle set of a line is made once, not once for each pair that it is in
+    sets = stages.get("sets", lambda: _lines(docs).select("node", "line").join(
+        wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", F.array_distinct(
+            F.transform(_shingles("line"), lambda s: F.xxhash64(s["a"], s["b"]))).alias("of")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        right = lines.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-        left = lines.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-        sets = pairs.join(right, "b").join(left, "a").select("a", "b", *(
-            F.array_distinct(F.transform(_shingles(f"line_{x}"), lambda s: F.xxhash64(s["a"], s["b"])))
-            .alias(f"of_{x}") for x in "ab"))
+        right = sets.select(F.col("node").alias("b"), F.col("of").alias("of_b"))
+        left = sets.select(F.col("node").alias("a"), F.col("of").alias("of_a"))
         both = F.size(F.array_intersect("of_a", "of_b"))
-        return sets.select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("sim"))
+        sim = both / (F.size("of_a") + F.size("of_b") - both)
+        return pairs.join(right, "b").join(left, "a").select("a", "b", sim.alias("sim"))
 
     return bucket_links(stages, members, verify, settings.threshold, "lines")
 
