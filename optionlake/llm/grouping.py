@@ -4,9 +4,12 @@ Distances 1 - J obey the triangle inequality (J: Jaccard similarity, plain or we
 round every bucket names leaders (one, then 4, 16, ...) and compares its members with them only.
 Members that reach the threshold are linked to a leader. One that stays below it can reach a
 member linked to that leader only if its own similarity to the leader is near enough, so just
-those pairs are compared; the members below the threshold for every leader go on to the next
-round. No pair of a bucket that reaches the threshold is lost, other than between nodes which are
-already connected.
+those pairs are compared, and only where the links of all buckets so far leave the two in
+different components. The members below the threshold for every leader go on to the next round,
+from buckets that still hold several components. Buckets rank their members in four different
+orders, so that a large group has leaders from several places and its links soon join it up. No
+pair of a bucket that reaches the threshold is lost, other than between nodes which are already
+connected.
 """
 
 from __future__ import annotations
@@ -24,20 +27,25 @@ def components(stages: StageTables, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): component is the smallest node that is connected with the node.
 
     Alternates large-star and small-star steps on ``edges`` (a, b), each round a stage table,
-    until a round changes nothing. Only nodes with an edge appear. Nulls and loops are ignored.
+    until all edges form stars. Only nodes with an edge appear. Nulls and loops are ignored.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"),
                                           F.least("a", "b").alias("v")).distinct()
-    before, number = None, 0
+    number = 0
     table = stages.get(f"{name}-0", lambda: pairs)
-    while True:
-        mark = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-                         .alias("s")).first()
-        if mark == before or not mark.n:
-            return table.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                table.select("v", "v")).distinct()
-        before, number = mark, number + 1
+    while not _all_stars(table):
+        number += 1
         table = stages.get(f"{name}-{number}", lambda t=table: _star(t))
+    return table.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        table.select("v", "v")).distinct()
+
+
+def _all_stars(table: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u as well."""
+    ends = table.select(F.col("u").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(
+        table.select("v", F.lit(0), F.lit(1)))
+    found = ends.groupBy("n").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return found.filter("low + high > 1").isEmpty()
 
 
 def _star(table: DataFrame) -> DataFrame:
@@ -62,40 +70,45 @@ def bucket_links(
 
     ``verify`` takes pairs (a, b) and returns (a, b, sim) with their similarity.
     """
-    links, groups, number = None, None, 0
+    groups, number = None, 0
+    stars = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    order = "xxhash64({}, bucket & 3)"
     while True:
         if number == 0:
-            leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"),
-                                                    F.count("*").alias("n")).filter("n > 1").drop("n")
+            leaders = members.groupBy("bucket").agg(
+                F.min_by("node", F.expr(order.format("node"))).alias("leader"),
+                F.count("*").alias("n")).filter("n > 1").drop("n")
         else:
-            rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+            rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.expr(order.format("node"))))
             leaders = members.withColumn("rank", rank).filter(F.col("rank") <= 4 ** number).select(
                 "bucket", F.col("node").alias("leader"))
         led = stages.get(f"{name}-led-{number}", lambda: members.join(leaders, "bucket").filter(
-            "node > leader"))
+            f"{order.format('node')} > {order.format('leader')}").select(
+                "*", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
         if led.isEmpty():
             break
-        pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        scored = stages.get(f"{name}-scored-{number}", lambda: verify(pairs))
+        scored = stages.get(f"{name}-scored-{number}",
+                            lambda: verify(led.select("a", "b").distinct()))
         found = scored.filter(F.col("sim") >= threshold).select("a", "b")
-        links = found if links is None else links.union(found)
-        groups = groups or components(stages, links, f"{name}-first")
-        known = led.join(scored.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"])
-        placed = known.filter(F.col("sim") >= 2 * threshold - 1).join(groups, "node", "left").select(
-            "bucket", "leader", "node", "sim", F.coalesce("component", "node").alias("group"))
-        ring = placed.filter(F.col("sim") < threshold).withColumnsRenamed(
-            {"node": "a", "sim": "sim_a", "group": "group_a"})
-        near = placed.filter(F.col("sim") >= threshold).withColumnsRenamed(
+        groups = components(stages, stars.union(found), f"{name}-groups-{number}")
+        known = stages.get(f"{name}-known-{number}", lambda: led.join(scored, ["a", "b"]).join(
+            groups, "node", "left").select("bucket", "leader", "node", "sim",
+                                           F.coalesce("component", "node").alias("group")))
+        ring = known.filter((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))
+        ring = ring.withColumnsRenamed({"node": "a", "sim": "sim_a", "group": "group_a"})
+        near = known.filter(F.col("sim") >= threshold).withColumnsRenamed(
             {"node": "b", "sim": "sim_b", "group": "group_b"})
         across = ring.join(near, ["bucket", "leader"]).filter(
             (F.col("sim_b") - F.col("sim_a") <= 1 - threshold) & (F.col("group_a") != F.col("group_b")))
         more = stages.get(f"{name}-ring-{number}", lambda: verify(
             across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        links = links.union(more.filter(F.col("sim") >= threshold).select("a", "b"))
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
+            more.filter(F.col("sim") >= threshold).select("a", "b"))
         done = known.filter(F.col("sim") >= threshold).select("bucket", "node").union(
-            led.select("bucket", F.col("leader").alias("node"))).distinct()
-        members = led.select("bucket", "node").distinct().join(done, ["bucket", "node"], "left_anti")
+            known.select("bucket", F.col("leader").alias("node"))).distinct()
+        left = known.select("bucket", "node", "group").distinct().join(
+            done, ["bucket", "node"], "left_anti")
+        mixed = left.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        members = left.join(mixed.filter("low < high"), "bucket", "left_semi").select("bucket", "node")
         number += 1
-    if links is None:
-        return members.select("node", F.col("node").alias("component")).limit(0)
-    return components(stages, links, f"{name}-all")
+    return components(stages, stars, f"{name}-all")

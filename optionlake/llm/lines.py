@@ -25,8 +25,8 @@ from optionlake.sources.stages import StageTables
 
 @dataclass(frozen=True)
 class LineSettings:
-    bands: int = 8
-    rows: int = 3
+    bands: int = 15
+    rows: int = 5
     threshold: float = 0.8
 
 
@@ -45,10 +45,15 @@ def _shingles(line: str) -> Column:
 
 def _signatures(docs: DataFrame, settings: LineSettings) -> DataFrame:
     """(node, bucket): the band keys of each distinct line."""
+    half = settings.bands * settings.rows // 2 + settings.bands * settings.rows % 2
     hashes = _lines(docs).select("node", F.inline(_shingles("line"))).select(
-        "node", F.xxhash64("a", "b").alias("h"))
-    least = hashes.groupBy("node").agg(*(F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}")
-                                         for k in range(settings.bands * settings.rows)))
+        "node", F.xxhash64("a", "b").alias("h")).select(
+        "node", *(F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(half)))
+    # each 64-bit hash serves two samples, by its upper and its lower 32 bits
+    least = hashes.groupBy("node").agg(
+        *(F.min(F.shiftright(f"x{k}", 32).cast("int")).alias(f"m{2 * k}") for k in range(half)),
+        *(F.min(F.shiftright(F.shiftleft(f"x{k}", 32), 32).cast("int")).alias(f"m{2 * k + 1}")
+          for k in range(half)))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * settings.rows + r}" for r in range(settings.rows)))
             for b in range(settings.bands)]
     return least.select("node", F.explode(F.array(*keys)).alias("bucket"))
