@@ -37,7 +37,7 @@ class NearSettings:
     width: int = 5
     threshold: float = 0.8
     bands: int = 16
-    rows: int = 6
+    rows: int = 5
     idf_strength: float = 0.25
 
 
