@@ -1,11 +1,10 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-The character shingles of a line have content-defined ends: each runs from the start of a word to
-the end of the next one, and the last is the last word alone (words: what single spaces part).
-Signatures are minima of their hashes. Lines that agree in a band of signatures are compared by
-the exact Jaccard similarity of their whole shingle sets. A distributed union-find turns the links
-into components; of each component, copies included, the first line in the order (doc_id, line
-number) stays.
+The shingles of a line are all its character ``gram``-grams (a line shorter than that is one gram).
+Signatures are minima of their hashes, made once for each distinct line. Lines that agree in a band
+of signatures are compared by the exact Jaccard similarity of their whole gram sets. A distributed
+union-find turns the links into components; of each component, copies included, the first line in
+the order (doc_id, line number) stays.
 
 Lines are parts between newlines. Blank ones always stay. Null texts stay null and have no lines.
 Rows that share doc_id and text are one document: they lose and keep the same lines. Nulls in
@@ -25,6 +24,7 @@ from optionlake.sources.stages import StageTables
 
 @dataclass(frozen=True)
 class LineSettings:
+    gram: int = 5
     bands: int = 15
     rows: int = 5
     threshold: float = 0.8
@@ -37,17 +37,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.filter("line rlike '[^ \\t-\\r]'").withColumn("node", F.xxhash64("line"))
 
 
-def _shingles(line: str) -> Column:
-    """Array of (word, next word); the characters between are one space."""
-    following = F.split(F.expr(f"substring({line}, instr({line}, ' ') + 1)"), " ")
-    return F.arrays_zip(F.split(line, " ").alias("a"), following.alias("b"))
+def _grams(chars: str, gram: int) -> Column:
+    """Hashes of the distinct grams of an array of characters."""
+    ahead = [F.slice(chars, k + 1, F.size(chars)).alias(f"c{k}") for k in range(gram)]
+    whole = F.slice(F.arrays_zip(*ahead), 1, F.greatest(F.size(chars) - (gram - 1), F.lit(1)))
+    return F.array_distinct(F.transform(
+        whole, lambda s: F.xxhash64(*(s[f"c{k}"] for k in range(gram)))))
 
 
 def _signatures(docs: DataFrame, settings: LineSettings) -> DataFrame:
     """(node, bucket): the band keys of each distinct line."""
     half = settings.bands * settings.rows // 2 + settings.bands * settings.rows % 2
-    hashes = _lines(docs).select("node", F.inline(_shingles("line"))).select(
-        "node", F.xxhash64("a", "b").alias("h")).select(
+    # dealt by node, so that the minima below need no shuffle of their own
+    chars = _lines(docs).select("node", "line").dropDuplicates(["node"]).select(
+        "node", F.split("line", "").alias("chars"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("chars") - settings.gram, F.lit(0)))
+    hashes = chars.select("node", "chars", F.explode(starts).alias("i")).select("node", F.xxhash64(
+        *(F.get("chars", F.col("i") + k) for k in range(settings.gram))).alias("h")).select(
         "node", *(F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(half)))
     # each 64-bit hash serves two samples, by its upper and its lower 32 bits
     least = hashes.groupBy("node").agg(
@@ -62,22 +68,23 @@ def _signatures(docs: DataFrame, settings: LineSettings) -> DataFrame:
 def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
                 stages: StageTables) -> DataFrame:
     """(node, component) of the lines that are similar to another line."""
-    # dealt by bucket once: the count and the members below read the same shuffle
-    keyed = _signatures(docs, settings).repartition("bucket")
+    keyed = stages.get("keyed", lambda: _signatures(docs, settings))
     shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = stages.get("shared", lambda: keyed.join(shared, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
-    # the shingle set of a line is made once, not once for each pair that it is in
-    sets = stages.get("sets", lambda: _lines(docs).select("node", "line").join(
-        wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", F.array_distinct(
-            F.transform(_shingles("line"), lambda s: F.xxhash64(s["a"], s["b"]))).alias("of")))
+    # gram sets are several times as large as their lines, so they are made for each pair
+    texts = stages.get("texts", lambda: _lines(docs).select("node", "line").join(
+        wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        right = sets.select(F.col("node").alias("b"), F.col("of").alias("of_b"))
-        left = sets.select(F.col("node").alias("a"), F.col("of").alias("of_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
+        left = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
+        sets = pairs.join(right, "b").join(left, "a").select("a", "b", *(
+            F.split(f"line_{x}", "").alias(f"chars_{x}") for x in "ab")).select(
+            "a", "b", *(_grams(f"chars_{x}", settings.gram).alias(f"of_{x}") for x in "ab"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         sim = both / (F.size("of_a") + F.size("of_b") - both)
-        return pairs.join(right, "b").join(left, "a").select("a", "b", sim.alias("sim"))
+        return sets.select("a", "b", sim.alias("sim"))
 
     return bucket_links(stages, members, verify, settings.threshold, "lines")
 

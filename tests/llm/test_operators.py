@@ -375,6 +375,25 @@ def test_lines_edges(spark, edges):
     assert lines.clean_lines(spark, empty(edges)).count() == 0
 
 
+def test_lines_link_by_character_grams(spark):
+    """Brute force over all character 5-grams; word shingles link none of these pairs."""
+    rows = [(1, "the quick brown fox jumps over the lazy dog near the river"),
+            (2, "the quick brown fox jumps over the lazy dig near the river"),
+            (3, "https://example.org/a/long/path/without/any/space/index.html?id=1"),
+            (4, "https://example.org/a/long/path/without/any/space/index.html?id=2"),
+            (5, "".join(chr(0x4E00 + i) for i in range(40))),
+            (6, "".join(chr(0x4E00 + i) for i in range(41))),
+            (7, "\U0001F600abc" * 3 + "defghijklmnopqrstuvwxyz0123456789"),
+            (8, "\U0001F600abc" * 3 + "defghijklmnopqrstuvwxyz012345678"),
+            (9, "abc"), (10, "abcd"), (11, "abcde"), (12, "abcdef"), (13, "something else altogether")]
+    grams = {i: {t[k:k + 5] for k in range(max(len(t) - 4, 1))} for i, t in rows}
+    want = {i: int(any(len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+                       for j in range(1, i))) for i in grams}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: len(r.removed_lines) for r in lines.clean_lines(spark, docs).collect()}
+    assert got == want and sum(want.values()) == 4
+
+
 # --- decontamination -----------------------------------------------------------------------
 
 def edit_distance_inside(item, text):
