@@ -1,11 +1,19 @@
 """Brown class-based n-grams: exchange clustering, class transitions and word emissions.
 
 Tokens are the words of a text with A-Z lowered, then one end token. Word counts cover all
-training documents. The units of the clustering are the ``frequent`` most frequent words and, for
-all other words, their shapes (last two bytes and length); so every word, known or not, has a
-class. Bigrams of units are counted over all training documents; their number is bounded by the
-parameters, not by the data, so the exchange sweeps run on one dense table. Words move one at a
-time to the class that raises the likelihood of the class bigrams most, until none moves.
+training documents. Every known word has a class that follows from its own bigrams:
+
+- The seed units are the ``frequent`` most frequent words and, for all other words, their shapes
+  (last two bytes and length). Their bigrams fit one dense table; units move one at a time to the
+  class that raises the likelihood of the class bigrams most, until none moves (``sweeps`` bounds
+  that if set). Frequent words keep these classes.
+- All other known words are then placed in Spark, ``rounds`` times: the classes before and after a
+  word are counted over all training documents, and it goes to the class that gains most to first
+  order, against the class-by-class table. In the next round, words with ``least`` occurrences or
+  more count as neighbours with the class they got, rarer ones with that of their shape. Moves of
+  a round are made at once; the rounds are few and do not go on until no word moves.
+
+An unknown word has the class of its shape.
 
 log10 P(text) is the sum over tokens of log10 P(class | previous class) + log10 P(word | class),
 with P(c'|c) = (n(c,c') + a) / (n(c) + a C) and P(w|c) = (n(w) + 1) / (n(c) + v(c) + 1): v(c) is
@@ -19,6 +27,7 @@ token. A null doc_id is never held out. Repeated rows are scored each.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +48,9 @@ class BrownSettings:
     frequent: int = 1024
     shapes: int = 256
     local: int = 1 << 18
-    sweeps: int = 12
+    sweeps: int | None = None
+    least: int = 3
+    rounds: int = 2
     smoothing: float = 0.1
 
 
@@ -131,7 +142,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int | None) -> np.ndarray:
     """Class of each unit; the last unit (the end token) is a class of its own.
 
     Starts from classes dealt by descending frequency; each sweep visits the units in that order.
@@ -146,7 +157,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     onehot[np.arange(size), of] = 1
     right, left = bigrams @ onehot, bigrams.T @ onehot  # counts after and before, by class
     table = onehot.T @ right
-    for _ in range(sweeps):
+    for _ in itertools.count() if sweeps is None else range(sweeps):
         moved = 0
         for u in order.tolist():
             own, loop = of[u], bigrams[u, u]
@@ -183,87 +194,194 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+class Classes:
+    """Class of a token: that of its word, if listed, or else of its shape."""
+
+    def __init__(self, units: Units, of: np.ndarray, words: np.ndarray, classes: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.shapes, self.shape_classes = units.shapes, of[len(units.words):]
+        self.words, self.classes = words[order], classes[order]
+
+    def of(self, hashes: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes, and whether the word is listed."""
+        at, found = _lookup(self.words, hashes)
+        own = self.classes[at] if len(self.words) else 0
+        return np.where(found, own, self.shape_classes[shape]), found
+
+
+def _contexts(known: Classes, count: int):
+    """(word, slot, n): the class before (slot < count) or after it; from 2 * count on, class pairs."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(count * count, np.int64)
+        for batch in batches:
+            for _, _, chunk in textbytes.chunks(batch.column("text")):
+                hashes, shape, _ = tokens(chunk, known.shapes)
+                of, _ = known.of(hashes, shape)
+                before = np.concatenate([[count - 1], of[:-1]])
+                pairs += np.bincount(before * count + of, minlength=len(pairs))
+                inner = np.flatnonzero(hashes != END)  # a word is never the last token of a text
+                words, at = np.unique(hashes[inner], return_inverse=True)
+                keys = np.concatenate([at * 2 * count + before[inner],
+                                       at * 2 * count + count + of[inner + 1]])
+                keys, n = np.unique(keys, return_counts=True)
+                for i in range(0, len(keys), 1 << 16):
+                    part = keys[i:i + (1 << 16)]
+                    yield pa.record_batch({"word": words[part // (2 * count)].view(np.int64),
+                                           "slot": (part % (2 * count)).astype(np.int32),
+                                           "n": n[i:i + (1 << 16)]})
+        at = np.flatnonzero(pairs)
+        yield pa.record_batch({"word": np.zeros(len(at), np.int64),
+                               "slot": (2 * count + at).astype(np.int32), "n": pairs[at]})
+    return build
+
+
+def place(contexts: np.ndarray, between: np.ndarray, smoothing: float) -> np.ndarray:
+    """Best class of each word by its counts of classes before and after (2 C columns)."""
+    count = len(between)
+    table = np.log(between + smoothing)
+    rows = np.log(between.sum(1) + smoothing * count)
+    cols = np.log(between.sum(0) + smoothing * count)
+    gain = contexts[:, :count] @ (table - cols) + contexts[:, count:] @ (table - rows[:, None]).T
+    gain[:, -1] = -np.inf
+    return gain.argmax(1)
+
+
+def _placed(between: np.ndarray, smoothing: float):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("seen")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            counts = np.zeros((batch.num_rows, 2 * len(between)))
+            counts[row, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
+            yield pa.record_batch({"word": batch.column("word"), "class": place(
+                counts, between, smoothing).astype(np.int32)})
+    return build
+
+
 @dataclass(frozen=True)
 class BrownModel:
-    """Class of each unit, log10 transitions and class sizes, and counts of frequent words."""
+    """Classes and counts of the most frequent words, class sizes, and numbers of words."""
 
-    units: Units
-    of: np.ndarray
-    transitions: np.ndarray
-    class_log: np.ndarray
-    local_words: np.ndarray
+    known: Classes
     local_counts: np.ndarray
+    class_log: np.ndarray
     tokens: int
     distinct: int
 
 
 def train(spark: SparkSession, docs: DataFrame, settings: BrownSettings,
           stages: StageTables) -> tuple[BrownModel, DataFrame]:
-    """The model of the texts of ``docs``, and the table of word counts (word, n)."""
-    texts = docs.select("text")
+    """The model of the texts of ``docs``, and the table of known words (word, n, class)."""
+    texts, classes = docs.select("text"), settings.classes
     counts = stages.get("counts", lambda: texts.mapInArrow(
         _word_counts(settings.shapes), "word long, shape long, n long").groupBy("word").agg(
             F.sum("n").alias("n"), F.first("shape").alias("shape")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.local).toArrow()
-    words, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    plain = words[words != END]
-    units = Units(np.sort(plain[:settings.frequent]), settings.shapes)
+    end = int(END)
+    top = counts.filter(F.col("word") != end).orderBy(F.desc("n"), "word").limit(
+        settings.frequent).select("word").toArrow()["word"].to_numpy().view(np.uint64)
+    units = Units(np.sort(top), settings.shapes)
     table = texts.mapInArrow(_bigrams(units), "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(units.size * units.size)
     bigrams[table["pair"].to_numpy()] = table["n"].to_numpy()
-    bigrams = bigrams.reshape(units.size, units.size)
-    classes = settings.classes
-    of = exchange(bigrams, classes, settings.sweeps)
-
-    member = np.zeros((units.size, classes))
-    member[np.arange(units.size), of] = 1
-    between = member.T @ bigrams @ member
-    a = settings.smoothing
-    transitions = np.log10((between + a) / (between.sum(1, keepdims=True) + a * classes))
-    frequent = spark.createDataFrame(pa.table({"word": units.words.view(np.int64)}))
-    rare = counts.filter(F.col("shape") < settings.shapes).join(
-        F.broadcast(frequent), "word", "left_anti").groupBy("shape").agg(
-            F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    sizes, known = np.zeros(classes), np.zeros(classes)
-    shape_units = len(units.words) + rare["shape"].to_numpy()
-    np.add.at(sizes, of[shape_units], rare["n"].to_numpy())
-    np.add.at(known, of[shape_units], rare["v"].to_numpy())
-    order = np.argsort(words)
-    at, _ = _lookup(words[order], units.words)
-    np.add.at(sizes, of[:len(units.words)], n[order][at] if len(n) else 0)
-    np.add.at(known, of[:len(units.words)], 1)
-    sizes[of[-1]] += n[words == END].sum()
-    known[of[-1]] += 1
-    model = BrownModel(units, of, transitions, np.log10(sizes + known + 1), words[order], n[order],
-                       int(total.n), int(total.v))
-    return model, counts.select("word", "n")
-
-
-def _score(model: BrownModel):
+    of = exchange(bigrams.reshape(units.size, units.size), classes, settings.sweeps)
+
+    fixed = spark.createDataFrame(pa.table({
+        "word": np.append(units.words, END).view(np.int64),
+        "fixed": np.append(of[:len(units.words)], of[-1]).astype(np.int32)}))
+    known = Classes(units, of, units.words, of[:len(units.words)])
+    for number in range(settings.rounds):
+        seen = stages.get(f"contexts-{number}", lambda k=known: texts.mapInArrow(
+            _contexts(k, classes), "word long, slot int, n long").groupBy("word", "slot").agg(
+                F.sum("n").alias("n")))
+        pairs = seen.filter(F.col("slot") >= 2 * classes).toArrow()
+        between = np.zeros(classes * classes)
+        between[pairs["slot"].to_numpy() - 2 * classes] = pairs["n"].to_numpy()
+        between = between.reshape(classes, classes)
+        words = stages.get(f"words-{number}", lambda s=seen, b=between: counts.select("word", "n").join(
+            s.filter(F.col("slot") < 2 * classes).groupBy("word").agg(
+                F.collect_list(F.struct("slot", "n")).alias("seen")).mapInArrow(
+                    _placed(b, settings.smoothing), "word long, class int"), "word", "left").join(
+            F.broadcast(fixed), "word", "left").select(
+                "word", "n", F.coalesce("fixed", "class").alias("class")))
+        if number + 1 < settings.rounds:
+            heard = words.filter((F.col("n") >= settings.least) & (F.col("word") != end)).toArrow()
+            known = Classes(units, of, heard["word"].to_numpy().view(np.uint64),
+                            heard["class"].to_numpy().astype(np.int64))
+    sums = words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
+    sizes = np.zeros(classes)
+    sizes[sums["class"].to_numpy()] = sums["n"].to_numpy() + sums["v"].to_numpy()
+    local = words.orderBy(F.desc("n"), "word").limit(settings.local).toArrow()
+    hashes = local["word"].to_numpy().view(np.uint64)
+    model = BrownModel(Classes(units, of, hashes, local["class"].to_numpy().astype(np.int64)),
+                       local["n"].to_numpy().astype(np.int64)[np.argsort(hashes)],
+                       np.log10(sizes + 1), int(total.n), int(total.v))
+    return model, words
+
+
+def _coded(model: BrownModel):
+    """Classes of each row's tokens; words that are not local are listed with their places."""
     logs = np.log10(model.local_counts + 1)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, chunk in textbytes.chunks(batch.column("text")):
-                hashes, shape, rows = tokens(chunk, model.units.shapes)
-                of = model.of[model.units.of(hashes, shape)]
-                before = np.concatenate([[model.of[-1]], of[:-1]])
-                value = model.transitions[before, of] - model.class_log[of]
-                at, found = _lookup(model.local_words, hashes)
+                hashes, shape, rows = tokens(chunk, model.known.shapes)
+                of, found = model.known.of(hashes, shape)
+                at, _ = _lookup(model.known.words, hashes)
                 sums = np.bincount(rows, np.where(found, logs[at], 0) if len(logs) else None,
                                    minlength=chunk.rows) if len(logs) else np.zeros(chunk.rows)
                 rare = ~found
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=chunk.rows))])
+                ends = np.cumsum(chunk.n_words + 1)
+                places = np.arange(len(of)) - (ends - chunk.n_words - 1)[rows]
+                codes = of.astype(np.uint16)
                 own = batch.slice(low, high - low)
                 yield pa.record_batch({
                     "rid": own.column("rid"), "doc_id": own.column("doc_id"),
                     "held_out": own.column("held_out"), "n_tokens": chunk.n_words + 1,
                     "found": np.bincount(rows[found], minlength=chunk.rows), "logs": sums,
-                    "classes": np.bincount(rows, value, minlength=chunk.rows),
+                    "codes": pa.array([codes[e - n:e].tobytes() for e, n in zip(
+                        ends, chunk.n_words + 1, strict=True)], pa.binary()),
                     "rare": pa.ListArray.from_arrays(
-                        pa.array(cuts.astype(np.int32)), pa.array(hashes[rare].view(np.int64)))})
+                        pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays(
+                            [pa.array(places[rare]), pa.array(hashes[rare].view(np.int64))],
+                            ["place", "word"]))})
+    return build
+
+
+def _sequences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Classes of each row with those of its rare known words in place."""
+    for codes, rare in zip(batch.column("codes"), batch.column("rare"), strict=True):
+        of = np.frombuffer(codes.as_py(), np.uint16).astype(np.int64)
+        if rare.is_valid and len(rare):
+            of[rare.values.field("place").to_numpy()] = rare.values.field("class").to_numpy()
+        yield of
+
+
+def _transitions(classes: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for of in _sequences(batch):
+                before = np.concatenate([[classes - 1], of[:-1]])
+                seen += np.bincount(before * classes + of, minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.record_batch({"pair": at, "n": seen[at]})
+    return build
+
+
+def _score(transitions: np.ndarray, class_log: np.ndarray):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros(batch.num_rows)
+            for i, of in enumerate(_sequences(batch)):
+                before = np.concatenate([[len(class_log) - 1], of[:-1]])
+                sums[i] = (transitions[before, of] - class_log[of]).sum()
+            own = [c for c in batch.schema.names if c not in ("codes", "rare")]
+            yield pa.record_batch({c: batch.column(c) for c in own} | {"classes": sums})
     return build
 
 
@@ -277,19 +395,31 @@ def scores(spark: SparkSession, docs: DataFrame, held_out=None,
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
-    model, counts = train(spark, rows.filter(~F.col("held_out")), settings, stages)
-    kinds = ("rid long, doc_id long, held_out boolean, n_tokens long, found long, logs double, "
-             "classes double, rare array<bigint>")
-    parts = stages.get("scored", lambda: rows.withColumn(
-        "rid", F.monotonically_increasing_id()).mapInArrow(_score(model), kinds))
-    rare = parts.select("rid", F.explode("rare").alias("word")).join(counts, "word").groupBy("rid").agg(
-        F.count("*").alias("rare_found"), F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"))
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
+    model, words = train(spark, rows.filter(~F.col("held_out")), settings, stages)
+    kinds = "rid long, doc_id long, held_out boolean, n_tokens long, found long, logs double"
+    parts = stages.get("parts", lambda: rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
+        _coded(model), f"{kinds}, codes binary, rare array<struct<place: bigint, word: bigint>>"))
+    rare = parts.select("rid", F.inline("rare")).join(words, "word").groupBy("rid").agg(
+        F.collect_list(F.struct("place", "class")).alias("rare"),
+        F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"))
+    coded = stages.get("coded", lambda: parts.drop("rare").join(rare, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("found") + F.coalesce(F.size("rare"), F.lit(0))).alias("found"),
+        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))).alias("logs"), "codes", "rare"))
+    a, classes = settings.smoothing, settings.classes
+    table = coded.filter(~F.col("held_out")).select("codes", "rare").mapInArrow(
+        _transitions(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros(classes * classes)
+    between[table["pair"].to_numpy()] = table["n"].to_numpy()
+    between = between.reshape(classes, classes)
+    transitions = np.log10((between + a) / (between.sum(1, keepdims=True) + a * classes))
+    scored = coded.mapInArrow(_score(transitions, model.class_log), kinds.removeprefix("rid long, ")
+                              + ", classes double")
+    logs = F.col("logs")
     space = float(np.log10(model.tokens + model.distinct + 1))
     score = logs + F.col("classes")
-    return parts.drop("rare").join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("found") + F.coalesce("rare_found", F.lit(0))).alias("n_known"),
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", F.col("found").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * space).alias("base_score"), score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

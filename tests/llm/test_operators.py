@@ -515,6 +515,31 @@ def test_brown_beats_unigrams_and_normalises(spark, small):
     assert rows.s > rows.b
 
 
+def test_brown_places_rare_words_by_context(spark):
+    """Words outside the frequent ones, of one shape, get the class of the words they stand for."""
+    from optionlake.sources.stages import StageTables
+
+    animals, colours = [f"a{i:03}xx" for i in range(20)], [f"c{i:03}xx" for i in range(20)]
+    rows = [(i, " ".join(f"the dog runs a red shines the {animals[(i + k) % 20]} runs "
+                         f"a {colours[(i * 7 + k) % 20]} shines" for k in range(2))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = brown.BrownSettings(classes=8, frequent=6, shapes=8)
+    _, table = brown.train(spark, docs, settings, StageTables(spark))
+    classes = {r.word: r["class"] for r in table.collect()}
+    assert len(classes) == 47  # 40 words, six frequent ones and the end token
+
+    import numpy as np
+    import pyarrow as pa
+
+    from optionlake.llm import textbytes
+
+    def of(names):
+        (_, _, chunk), = textbytes.chunks(pa.array([" ".join(names)]))
+        return {classes[int(h)] for h in chunk.word_hashes(fold_case=True).view(np.int64)}
+
+    assert of(animals) == of(["dog"]) != of(colours) == of(["red"])
+
+
 def test_exchange_ends_where_no_move_helps():
     import numpy as np
 
