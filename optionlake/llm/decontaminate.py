@@ -198,6 +198,8 @@ def contaminations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
                     settings: MatchSettings = MatchSettings()) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found."""
-    hit = contaminations(spark, docs, benchmark, settings).select("doc_id").distinct()
-    hit = hit.select(F.col("doc_id").alias("hit_doc"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_doc"]), "left_anti")
+    # one key of both, as ids may be null or shared by other texts
+    key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+    hit = contaminations(spark, docs.select(key.alias("doc_id"), "text"), benchmark, settings)
+    hit = hit.select(F.col("doc_id").alias("hit_key")).distinct()
+    return docs.join(hit, key == hit["hit_key"], "left_anti")

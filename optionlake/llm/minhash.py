@@ -180,12 +180,8 @@ def _similarities(idf: np.ndarray):
     return build
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame,
-                    settings: NearSettings = NearSettings()) -> DataFrame:
-    """Per row: doc_id, class_id (smallest doc_id of its group), class_size, and whether it stays.
-
-    One row of a group stays: that with the smallest doc_id (of repeated rows each is marked).
-    """
+def _marked(spark: SparkSession, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """The rows of ``near_duplicates`` and, first, the node of their text."""
     stages = StageTables(spark)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("node", F.unhex(F.md5("text")))
@@ -212,14 +208,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame,
     sizes = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"),
                                         F.count("*").alias("class_size"))
     return placed.join(sizes, "class", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        "node", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame,
+                    settings: NearSettings = NearSettings()) -> DataFrame:
+    """Per row: doc_id, class_id (smallest doc_id of its group), class_size, and whether it stays.
+
+    One row of a group stays: that with the smallest doc_id (of repeated rows each is marked).
+    """
+    return _marked(spark, docs, settings).drop("node")
+
+
 def representatives(spark: SparkSession, docs: DataFrame,
                     settings: NearSettings = NearSettings()) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each group; rows without text or id."""
-    gone = near_duplicates(spark, docs, settings).filter(~F.col("stays")).select(
-        F.col("doc_id").alias("gone_doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_doc"], "left_anti")
+    """The rows of ``docs``, all columns, that stay: one of each group; rows without text.
+
+    Groups without any id stay whole.
+    """
+    gone = _marked(spark, docs, settings).filter(~F.col("stays") & F.col("node").isNotNull()).select(
+        F.col("doc_id").alias("gone_doc"), F.col("node").alias("gone_node")).distinct()
+    node = F.unhex(F.md5(docs["text"].cast("string")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (node == gone["gone_node"]),
+                     "left_anti")

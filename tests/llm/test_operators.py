@@ -436,6 +436,19 @@ def test_contaminations_match_brute_force(spark):
     assert decontaminate.contaminations(spark, docs, empty(bench.withColumn("doc_id", F.lit(1)))).count() == 0
 
 
+def test_rows_are_dropped_by_id_and_text(spark):
+    item = "The quick brown fox jumps over the lazy dog, while seven wizards mix black quartz in jars."
+    rows = [(None, f"lead {item}"), (None, "clean"), (1, f"{item} tail"), (1, "clean too"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = texts(decontaminate.clean_documents(spark, docs, bench))
+    assert sorted(kept, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    rows = [(1, BODY), (2, BODY + " tail"), (2, "unlike text"), (None, BODY + " end"), (None, "alone"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = texts(minhash.representatives(spark, docs))
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 # --- personal data -------------------------------------------------------------------------
 
 KIND = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
