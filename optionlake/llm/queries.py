@@ -14,6 +14,7 @@ from optionlake.llm import (
     decontaminate,
     lines,
     minhash,
+    negatives,
     packing,
     pii,
     quality,
@@ -108,6 +109,13 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(spark, _table(spark, sf_dir, "documents"), _fold(7) == 2)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (ids divisible by 50), after moving the labels of each 7th id."""
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(spark, rows, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -118,8 +126,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_minhash, op2_quality, op3_packing, op4_substrings, op5_rules, op6_warc, op7_lines,
-        op8_decontamination, op9_pii, op10_brown, pipeline)}
+        op8_decontamination, op9_pii, op10_brown, op11_negatives, pipeline)}
+
+
+OP11_SQL = """
+with whole as (
+    select vec_id,
+        cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.vec_id as anchor_id, a.label as anchor_label, c.vec_id, c.label,
+        cast(list_dot_product(a.v, c.v) as bigint) as score
+    from whole a join whole c on a.vec_id % 50 = 0),
+positive as (
+    select anchor_id, anchor_label, vec_id as positive_id, score as positive_score
+    from scored where label = anchor_label and vec_id <> anchor_id
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+    cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)
+         as integer) as rank
+from positive join scored using (anchor_id)
+where label <> scored.anchor_label
+    and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_negatives": OP11_SQL}
