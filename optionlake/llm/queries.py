@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from optionlake.deploy import ship_package
 from optionlake.llm import (
+    alignment,
     brown,
     decontaminate,
     lines,
@@ -116,6 +117,11 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(spark, rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies in each document."""
+    return alignment.aligned(spark, _table(spark, sf_dir, "documents"), alignment.public_settings())[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -126,7 +132,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_minhash, op2_quality, op3_packing, op4_substrings, op5_rules, op6_warc, op7_lines,
-        op8_decontamination, op9_pii, op10_brown, op11_negatives, pipeline)}
+        op8_decontamination, op9_pii, op10_brown, op11_negatives, op12_alignment,
+        pipeline)}
 
 
 OP11_SQL = """
