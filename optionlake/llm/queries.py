@@ -12,6 +12,7 @@ from optionlake.deploy import ship_package
 from optionlake.llm import (
     alignment,
     brown,
+    chat,
     decontaminate,
     lines,
     minhash,
@@ -122,6 +123,21 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(spark, _table(spark, sf_dir, "documents"), alignment.public_settings())[0]
 
 
+#: Conversation -7, whose texts hold the template's own control strings.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations replayed from their events, formatted, and read back from the output."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"))
+    folded = chat.messages(chat.events_of(rows.unionByName(added)))
+    return chat.digests(chat.formatted(folded))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -133,7 +149,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_minhash, op2_quality, op3_packing, op4_substrings, op5_rules, op6_warc, op7_lines,
         op8_decontamination, op9_pii, op10_brown, op11_negatives, op12_alignment,
-        pipeline)}
+        op13_chat, pipeline)}
 
 
 OP11_SQL = """
@@ -162,5 +178,31 @@ qualify rank <= 3
 """
 
 
+#: Lengths follow from the template: 4 + 2 characters around a role, 8 at the end, one more for each
+#: backslash, each </turn>, each pair of neighbouring # and each colon of a role.
+OP13_SQL = r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+    select *, list_sum(list_transform([role, text], lambda t: length(t)
+        + length(t) - length(replace(t, '\', ''))
+        + (length(t) - length(replace(t, '</turn>', ''))) // 7
+        + length(regexp_replace(t, '[^#]', '', 'g'))
+        - length(regexp_replace(regexp_replace(t, '#+', chr(1), 'g'), '[^' || chr(1) || ']', '', 'g'))
+        + (length(t) - length(replace(t, chr(1), '')))))
+        + length(role) - length(replace(role, ':', '')) + 14 as size
+    from turns)
+select conv_id, cast(count(*) as bigint) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), ''))
+        as loss_sha256,
+    cast(sum(size) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_negatives": OP11_SQL}
+    return {"op11_negatives": OP11_SQL, "op13_chat": OP13_SQL}
