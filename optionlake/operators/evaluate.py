@@ -37,13 +37,18 @@ def matched_days(forecast_days: DataFrame, gold_days: DataFrame) -> DataFrame:
         origin, list(N.DAY), "left")
 
 
-def panel_mismatches(matched: DataFrame) -> DataFrame:
-    """How many forecast surfaces disagree with each partner's identity or lack a partner."""
+def _identity_breaks() -> dict[str, Column]:
+    """Conditions of a matched surface that lacks a partner or differs from its identity."""
     pairs = [(N.TARGET_TS, f"actual_{N.DECISION_TS}"), (N.DECISION_TS, f"origin_{N.DECISION_TS}")]
     pairs += [(c, f"{side}_{c}") for side in ("actual", "origin") for c in N.SURFACE_IDS]
-    counters = {b: ~F.col(a).eqNullSafe(F.col(b)) for a, b in pairs}
-    counters["actual_surface"] = F.col("actual_completed_total_variance").isNull()
-    counters["origin_surface"] = F.col("origin_completed_total_variance").isNull()
+    return {b: ~F.col(a).eqNullSafe(F.col(b)) for a, b in pairs} | {
+        f"{side}_surface": F.col(f"{side}_completed_total_variance").isNull()
+        for side in ("actual", "origin")}
+
+
+def panel_mismatches(matched: DataFrame) -> DataFrame:
+    """How many forecast surfaces disagree with each partner's identity or lack a partner."""
+    counters = _identity_breaks()
     one = matched.agg(*[F.count_if(c).alias(k) for k, c in counters.items()])
     pairs_out = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("n_rows"))
                           for k in counters])
@@ -52,16 +57,22 @@ def panel_mismatches(matched: DataFrame) -> DataFrame:
 
 def realization_panel(forecast_days: DataFrame, gold_days: DataFrame, grid: SurfaceGrid,
                       floor: float = 1.0e-8) -> DataFrame:
-    """One row per forecast cell with actual and origin values, changes and weights."""
+    """One row per forecast cell with actual and origin values, changes and weights.
+
+    A forecast without a partner, or with another timestamp or grid than its partners, raises.
+    """
     matched = matched_days(forecast_days, gold_days)
     fields = {"predicted_total_variance": "predictions",
               **{f"actual_{a}": f"actual_{a}" for a in ACTUAL_ARRAYS},
               "origin_completed_iv": "origin_completed_iv"}
-    absent = F.col("actual_completed_total_variance").isNull() | F.col(
-        "origin_completed_iv").isNull()
+    breaks = _identity_breaks()
+    absent = breaks.pop("actual_surface") | breaks.pop("origin_surface")
+    problem = F.when(absent, "forecast without a realised or origin surface")
+    for name, differs in breaks.items():
+        problem = problem.when(differs, f"forecast differs from its surfaces in {name}")
     checked = matched.withColumn("predictions", F.when(
-        absent, F.raise_error("forecast without a realised or origin surface")
-        .cast("array<double>")).otherwise(F.col("predictions")))
+        problem.isNotNull(), F.raise_error(problem).cast("array<double>")).otherwise(
+            F.col("predictions")))
     zipped = F.arrays_zip(*[F.col(source).alias(name) for name, source in fields.items()])
     cells = checked.select(*FORECAST_KEYS, F.posexplode(zipped).alias("cell_index", "_c")).select(
         *FORECAST_KEYS, "cell_index", *[F.col("_c")[name].alias(name) for name in fields])
@@ -163,12 +174,15 @@ def loss_summary(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def day_win_counts(daily: DataFrame, metric: str, benchmark: str) -> DataFrame:
     """Days each model beats or trails the benchmark, mean and median difference.
 
-    A median per underlying and model reads at most one value per session.
+    A median per underlying and model reads at most one value per session. A day on which the
+    benchmark has no loss raises.
     """
     base = daily.filter(F.col("model_name") == benchmark).select(
         *N.DAY, N.TARGET_DATE, F.col(metric).alias("base"))
-    gap = daily.join(base, [*N.DAY, N.TARGET_DATE], "inner").filter(
-        F.col("model_name") != benchmark).withColumn("gap", F.col(metric) - F.col("base"))
+    known = F.when(F.col("base").isNull(), F.raise_error("a day has no benchmark loss")
+                   .cast("double")).otherwise(F.col("base"))
+    gap = daily.join(base, [*N.DAY, N.TARGET_DATE], "left").filter(
+        F.col("model_name") != benchmark).withColumn("gap", F.col(metric) - known)
     return gap.groupBy(N.SYMBOL, "model_name").agg(
         F.count_if(F.col("gap") < 0.0).alias("days_better"),
         F.count_if(F.col("gap") > 0.0).alias("days_worse"),

@@ -119,11 +119,16 @@ def in_sample_window(df: DataFrame, start: dt.date, end: dt.date,
     return df.filter(F.col(date_column).between(F.lit(start), F.lit(end)))
 
 
-def surface_inputs_guard(valid: DataFrame) -> DataFrame:
-    """Valid-flagged rows that still carry a missing, non-finite or non-positive input."""
+def broken_inputs() -> Column:
+    """A missing or non-finite surface input, or one that must be positive and is not."""
     broken = [not_finite(name) for name in SURFACE_INPUT_COLUMNS]
     broken += [F.coalesce(F.col(name) <= 0.0, F.lit(True)) for name in POSITIVE_SURFACE_INPUTS]
-    return valid.filter(reduce(lambda a, b: a | b, broken))
+    return reduce(lambda a, b: a | b, broken)
+
+
+def surface_inputs_guard(valid: DataFrame) -> DataFrame:
+    """Valid-flagged rows that still carry a missing, non-finite or non-positive input."""
+    return valid.filter(broken_inputs())
 
 
 def assign_grid_cell(rows: DataFrame, grid: SurfaceGrid) -> DataFrame:

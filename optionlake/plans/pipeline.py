@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from optionlake import names as N
 from optionlake.functions.grid import SurfaceSettings
+from optionlake.functions.sqlmath import not_finite
 from optionlake.operators import calendar as cal
 from optionlake.operators import compare, evaluate, forecast, hedge, panel, splits, surface
 from optionlake.operators.features import FeatureSettings, build_features
+from optionlake.operators.gate import Gate, KeySet, summary
+from optionlake.sources import quotes
 from optionlake.sources.stages import StageTables
 
+#: Contracts of the stage writes; see ``Run``.
+GATES = ("ingest", "surface_inputs", "coverage", "losses", "hedging")
 #: Enough days for the session before the first date and the target after the last one.
 CALENDAR_PADDING = dt.timedelta(days=31)
 
@@ -39,10 +44,21 @@ class RunSettings:
     calendar_start: dt.date | None = None
     calendar_end: dt.date | None = None
     sessions: Callable | None = field(default=None, compare=False)
+    #: NULL: every underlying, every date
+    symbols: tuple[str, ...] | None = None
+    sample_window: tuple[dt.date, dt.date] = (dt.date(1000, 1, 1), dt.date(9999, 12, 31))
+    gates: tuple[str, ...] = GATES
 
 
 class Run:
-    """Stage tables of one run. Every stage is written once and then read from storage."""
+    """Stage tables of one run. Every stage is written once and then read from storage.
+
+    The gates named in the settings hold the writes: ``ingest`` (null keys, foreign underlyings or
+    dates, files without one quote date), ``surface_inputs`` (usable quotes with unusable values),
+    ``coverage`` (every model forecasts the same days and splits), ``losses`` (every model has
+    the same finite losses by date) and ``hedging`` (one result per forecast). A breach raises
+    ``ContractError`` before any later stage reads the table.
+    """
 
     def __init__(self, bronze: Callable[[], DataFrame], settings: RunSettings,
                  tables: StageTables) -> None:
@@ -63,27 +79,53 @@ class Run:
         start, end = self.settings.calendar_start, self.settings.calendar_end
         if start is None or end is None:
             if self._span is None:
-                quotes = self.bronze()
-                last = [F.max(c) for c in (N.DATE, "expiration") if c in quotes.columns]
-                found = quotes.agg(F.min(N.DATE).alias("low"), F.greatest(*last, last[0]).alias("high"))
+                rows = self.bronze()
+                last = [F.max(c) for c in (N.DATE, "expiration") if c in rows.columns]
+                found = rows.agg(F.min(N.DATE).alias("low"), F.greatest(*last, last[0]).alias("high"))
                 self._span = tuple(found.first())
             low, high = (d or dt.date(2004, 1, 1) for d in self._span)
             start, end = start or low - CALENDAR_PADDING, end or high + CALENDAR_PADDING
         return start, end
 
+    def _gate(self, name: str, make: Callable[[], Gate]) -> Callable[[], Gate] | None:
+        return make if name in self.settings.gates else None
+
     def bronze(self) -> DataFrame:
-        return self.tables.get("bronze", self._bronze)
+        def gate() -> Gate:
+            low, high = self.settings.sample_window
+            foreign = ~F.coalesce(quotes.wanted(self.settings.symbols), F.lit(False))
+            nulls = {f"{c} is null": F.col(c).isNull() for c in quotes.KEY_COLUMNS}
+            outside = ~F.coalesce(F.col(N.DATE).between(F.lit(low), F.lit(high)), F.lit(False))
+            return Gate("bronze", nulls | {"foreign underlying": foreign, "outside the window": outside})
+
+        table = self.tables.get("bronze", self._bronze, self._gate("ingest", gate))
+        if "ingest" in self.settings.gates and "source_zip" in table.columns:
+            self.ingest(table)
+        return table
+
+    def ingest(self, bronze: DataFrame | None = None) -> DataFrame:
+        """Counts and status of each file."""
+        def gate() -> Gate:
+            return Gate("ingest", {s: F.col("status") == s for s in quotes.ERROR_STATUSES})
+
+        table = bronze if bronze is not None else self.tables.get("bronze", self._bronze)
+        return self.tables.get("ingest", lambda: quotes.ingest_summary(
+            table, self.settings.symbols, *self.settings.sample_window), self._gate("ingest", gate))
 
     def silver(self) -> DataFrame:
         """Flagged panel; quotes that already carry tau_years keep theirs."""
         def build() -> DataFrame:
-            s, quotes, lookup = self.settings, self.bronze(), self.lookup()
-            if "tau_years" not in quotes.columns:
-                quotes = cal.add_tau_years(quotes, lookup, s.market).drop("last_tradable_session")
-            derived = panel.add_derived_fields(cal.add_decision_timestamp(quotes, lookup))
+            s, rows, lookup = self.settings, self.bronze(), self.lookup()
+            if "tau_years" not in rows.columns:
+                rows = cal.add_tau_years(rows, lookup, s.market).drop("last_tradable_session")
+            derived = panel.add_derived_fields(cal.add_decision_timestamp(rows, lookup))
             return panel.flag_quality(derived, s.cleaning)
 
-        return self.tables.get("silver", build)
+        def gate() -> Gate:
+            broken = F.col("is_valid_observation") & panel.broken_inputs()
+            return Gate("silver", {"usable quote with an unusable input": broken})
+
+        return self.tables.get("silver", build, self._gate("surface_inputs", gate))
 
     def assigned(self) -> DataFrame:
         return panel.assign_grid_cell(panel.valid_rows(self.silver()), self.grid)
@@ -120,15 +162,33 @@ class Run:
                     s.run_id, s.features))
             return made
 
-        return self.tables.get("forecasts", build)
+        def gate() -> Gate:
+            day = (N.SYMBOL, N.DATE, N.TARGET_DATE, "split_id")
+            models = {m: KeySet(day, F.col("model_name") == m) for m in self.models()}
+            unknown = ~F.col("model_name").isin(*self.models())
+            return Gate("forecasts", {"unknown model": unknown}, models | {
+                "trades": KeySet(hedge.TRADE_KEY)}, alike=tuple(models))
+
+        return self.tables.get("forecasts", build, self._gate("coverage", gate))
+
+    def models(self) -> tuple[str, ...]:
+        """Names of all models of the run."""
+        return tuple(dict.fromkeys((*forecast.PROJECTED_MODELS,
+                                    *(p.model_name for p in self.settings.fitted))))
 
     def panel(self) -> DataFrame:
         return evaluate.realization_panel(self.forecasts(), self.gold(), self.grid,
                                           self.settings.positive_floor)
 
     def daily_loss(self) -> DataFrame:
+        def gate() -> Gate:
+            models = {m: KeySet((N.SYMBOL, N.TARGET_DATE), F.col("model_name") == m)
+                      for m in self.models()}
+            return Gate("daily_loss", {f"{m} is not finite": not_finite(m)
+                                       for m in self.settings.loss_metrics}, models, tuple(models))
+
         return self.tables.get("daily_loss", lambda: evaluate.daily_loss(
-            self.panel(), self.settings.positive_floor))
+            self.panel(), self.settings.positive_floor), self._gate("losses", gate))
 
     def losses(self) -> DataFrame:
         return compare.melt_losses(self.daily_loss(), self.settings.loss_metrics)
@@ -140,5 +200,11 @@ class Run:
         return hedge.hedge_trades(self.forecasts(), self.gold(), self.spots())
 
     def hedging(self) -> DataFrame:
+        def gate() -> Gate:
+            self.forecasts()
+            expected = {"trades": summary(self.tables.observed["forecasts"], "trades")} \
+                if "forecasts" in self.tables.observed else {}
+            return Gate("hedging", key_sets={"trades": KeySet(hedge.TRADE_KEY)}, expected=expected)
+
         return self.tables.get("hedging", lambda: hedge.evaluate_hedging(
-            self.trades(), self.grid, self.settings.hedging))
+            self.trades(), self.grid, self.settings.hedging), self._gate("hedging", gate))

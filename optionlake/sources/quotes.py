@@ -137,6 +137,9 @@ def bronze_rows(raw: DataFrame, symbols: tuple[str, ...] | None, start: dt.date,
     return raw.filter(wanted(symbols) & F.col(N.DATE).between(F.lit(start), F.lit(end)))
 
 
+ERROR_STATUSES = ("error_no_target_rows", "error_several_quote_dates", "error_null_keys")
+
+
 def ingest_summary(raw: DataFrame, symbols: tuple[str, ...] | None, start: dt.date,
                    end: dt.date) -> DataFrame:
     """Per file: row counts, quote date and status, in one aggregate over the raw rows."""
