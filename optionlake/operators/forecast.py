@@ -1,27 +1,28 @@
 """Walk-forward next-session surface forecasts.
 
 A forecast surface is one row with an array of cells. Models that need no fit are
-projections. Fitted models run in one task per underlying and group of splits: a task gets
-the underlying's feature rows once (bounded by its sessions) instead of one copy per split.
+projections. Fitted models run in one task per underlying, kind of inputs and range of
+consecutive splits. Of the sessions before its range a task gets only their moments, summed by
+segment in a task of their own; its own sessions are added split by split. So with expanding
+windows every session is read twice, whatever the number of splits.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from optionlake import names as N
 from optionlake.functions.grid import SurfaceGrid
 from optionlake.functions.sqlmath import log_positive, not_finite
 from optionlake.operators.features import FeatureSettings, feature_vector
-from optionlake.operators.learners import LINEAR_MODELS
+from optionlake.operators.learners import DESIGNS, LINEAR_MODELS, Moments
 from optionlake.operators.splits import WalkforwardSettings, date_positions, split_id
 from optionlake.operators.surface import dense_rows
 
@@ -85,17 +86,26 @@ def training_rows(features: DataFrame, settings: FeatureSettings) -> DataFrame:
         log_positive(F.col("target_total_variance")).alias("log_y"))
 
 
-def _split_bounds(split: int, wf: WalkforwardSettings) -> tuple[int, int, int, int]:
-    """(train start, train end, validation end, test end) as positions."""
-    train_end = wf.train_size + split * wf.step_size
-    train_start = 0 if wf.expanding_train else split * wf.step_size
-    validation_end = train_end + wf.validation_size
-    return train_start, train_end, validation_end, validation_end + wf.test_size
+@dataclass(frozen=True)
+class _Windows:
+    """Positions that split number s is fitted on, [start(s), end(s)), and predicts, up to use_end."""
+
+    wf: WalkforwardSettings
+    extra: int      # sessions after the training block that the fit reads as well
+    use: int        # sessions predicted
+
+    def start(self, split):
+        return split * (0 if self.wf.expanding_train else self.wf.step_size)
+
+    def end(self, split):
+        return split * self.wf.step_size + (self.wf.train_size + self.extra)
 
 
-def _fan_out(rows: DataFrame, wf: WalkforwardSettings, buckets: int,
-             first_split: Column, last_split: Column) -> DataFrame:
-    """Copy each row to the groups of consecutive splits that read it."""
+def _ranges(windows: _Windows, buckets: int, first_split: Column, last_split: Column) -> Column:
+    """Ranges of splits (bucket, lo, hi), and the positions [base, end) that a task of one reads.
+
+    With expanding windows, moments stand for all positions before base.
+    """
     span = F.greatest(last_split - first_split + 1, F.lit(0))
     per = F.ceil(span / F.lit(buckets)).cast("int")
     spec = F.transform(
@@ -103,10 +113,90 @@ def _fan_out(rows: DataFrame, wf: WalkforwardSettings, buckets: int,
         lambda b: F.struct(
             b.cast("int").alias("bucket"), (first_split + b * per).cast("int").alias("lo"),
             F.least(last_split, first_split + (b + 1) * per - 1).cast("int").alias("hi")))
-    end = F.lit(wf.first_test + wf.test_size) + F.col("s.hi") * wf.step_size
-    return rows.withColumn("s", F.explode(spec)).filter(
-        (F.col("s.lo") <= F.col("s.hi")) & (F.col("position") < end)
-    ).select(*rows.columns, "s.bucket", "s.lo", "s.hi")
+    base = windows.end if windows.wf.expanding_train else windows.start
+    return F.transform(
+        F.filter(spec, lambda s: s["lo"] <= s["hi"]),
+        lambda s: F.struct(s["bucket"].alias("bucket"), s["lo"].alias("lo"), s["hi"].alias("hi"),
+                           F.lit(base(s["lo"])).alias("base"),
+                           (windows.end(s["hi"]) + windows.use).alias("end")))
+
+
+def _design(pdf: pd.DataFrame, kind: str, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    x, lags, y = (np.stack(pdf[c].to_numpy()) for c in ("x", "log_lags", "log_y"))
+    return DESIGNS[kind](x, lags, n_cells), y
+
+
+def _segment_moments(ranged: DataFrame, kinds: Sequence[str], n_cells: int) -> DataFrame:
+    """Moments of the sessions between the starts of neighbouring ranges, for each later range."""
+    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        symbol, kind, segment, n_ranges = key
+        made = Moments.of(np.hstack(_design(pdf, kind, n_cells)))
+        return pd.DataFrame({N.SYMBOL: [symbol], "kind": kind, "segment": segment,
+                             "n_ranges": n_ranges, "n": made.n, "mean": [made.mean],
+                             "scatter": [made.scatter.tobytes()]})
+
+    placed = ranged.select(
+        N.SYMBOL, F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "position", "x", "log_lags",
+        "log_y", F.size("ranges").alias("n_ranges"),
+        F.size(F.filter("ranges", lambda s: s["base"] <= F.col("position"))).alias("segment"))
+    made = placed.filter("segment < n_ranges").groupBy(
+        N.SYMBOL, "kind", "segment", "n_ranges").applyInPandas(summed, (
+            f"{N.SYMBOL} string, kind string, segment int, n_ranges int, n long, "
+            "mean array<double>, scatter binary"))
+    return made.select(N.SYMBOL, "kind", F.explode(F.sequence(
+        "segment", F.col("n_ranges") - 1)).alias("bucket"), "segment", "n", "mean", "scatter")
+
+
+PREDICTED = (f"model_name string, params_id string, {N.SYMBOL} string, split_no int, {N.DATE} date, "
+             "converged boolean, predictions array<double>")
+
+
+def _walk_forward(rows: DataFrame, ranges: Column, plans: Sequence[FitPlan], windows: _Windows,
+                  n_cells: int) -> DataFrame:
+    """Predictions of every plan on each split of the ranges."""
+    kinds = sorted({LINEAR_MODELS[p.model_name][0] for p in plans})
+    ranged = rows.select(*N.DAY, "position", "x", "log_lags", "log_y", ranges.alias("ranges"))
+    own = ranged.select("*", F.explode("ranges").alias("r")).filter(
+        "position >= r.base and position < r.end").select(
+            *N.DAY, "position", "x", "log_lags", "log_y", "r.*",
+            F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    before = _segment_moments(ranged if windows.wf.expanding_train else ranged.limit(0), kinds, n_cells)
+
+    def fit(key: tuple, pdf: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        symbol, kind, _ = key
+        out: list[pd.DataFrame] = []
+        if len(pdf):
+            pdf = pdf.sort_values("position")
+            design, y = _design(pdf, kind, n_cells)
+            rows_, base, width = np.hstack([design, y]), int(pdf["base"].iloc[0]), design.shape[1]
+            known = Moments.of(rows_[:0])
+            for _, e in earlier.sort_values("segment").iterrows():
+                size = len(e["mean"])
+                known = known.plus(Moments(int(e["n"]), np.asarray(e["mean"]), np.frombuffer(
+                    e["scatter"]).reshape(size, size)))
+            reached = base
+            for split in range(int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]) + 1):
+                end = windows.end(split)
+                if windows.wf.expanding_train:
+                    known, reached = known.plus(Moments.of(rows_[reached - base:end - base])), end
+                else:
+                    known = Moments.of(rows_[windows.start(split) - base:end - base])
+                use = slice(end - base, end - base + windows.use)
+                for plan in plans:
+                    own_kind, learner = LINEAR_MODELS[plan.model_name]
+                    if own_kind == kind:
+                        predict, converged = learner(known, width, n_cells, **plan.params)
+                        out.append(pd.DataFrame({
+                            "model_name": plan.model_name, "params_id": plan.params_id,
+                            N.SYMBOL: symbol, "split_no": split, N.DATE: pdf[N.DATE].to_numpy()[use],
+                            "converged": converged,
+                            "predictions": list(np.exp(predict(design[use])))}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+            {c.split()[0]: [] for c in PREDICTED.split(", ")})
+
+    keys = (N.SYMBOL, "kind", "bucket")
+    return own.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(fit, PREDICTED)
 
 
 def fit_forecasts(features: DataFrame, boundary: DataFrame, plans: Sequence[FitPlan],
@@ -119,17 +209,10 @@ def fit_forecasts(features: DataFrame, boundary: DataFrame, plans: Sequence[FitP
         N.SYMBOL, F.substring("first_clean_test_split_id", 7, 9).cast("int").alias("first_split"))
     last = F.floor((F.col("n_dates") - wf.first_test - wf.test_size)
                    / F.lit(wf.step_size)).cast("int")
-    fanned = _fan_out(rows.join(first, N.SYMBOL, "inner"), wf, split_buckets,
-                      F.col("first_split"), last)
-    schema = T.StructType([
-        T.StructField("model_name", T.StringType()), T.StructField("params_id", T.StringType()),
-        T.StructField(N.SYMBOL, T.StringType()), T.StructField("split_no", T.IntegerType()),
-        T.StructField(N.DATE, T.DateType()), T.StructField("converged", T.BooleanType()),
-        T.StructField("predictions", T.ArrayType(T.DoubleType())),
-    ])
-    fit = _walk(plans, wf, grid.n_cells, lambda lo, b: (lo, b[2], b[2], b[3]))
-    predicted = fanned.select(*N.DAY, "position", "lo", "hi", "bucket", "x", "log_lags",
-                              "log_y").groupBy(N.SYMBOL, "bucket").applyInPandas(fit, schema)
+    windows = _Windows(wf, wf.validation_size, wf.test_size)
+    predicted = _walk_forward(
+        rows.join(first, N.SYMBOL, "inner"), _ranges(windows, split_buckets, F.col("first_split"), last),
+        plans, windows, grid.n_cells)
     dated = predicted.join(
         rows.select(*N.DAY, N.TARGET_DATE, N.DECISION_TS, N.TARGET_TS, *N.SURFACE_IDS),
         list(N.DAY), "inner")
@@ -144,31 +227,6 @@ def fit_forecasts(features: DataFrame, boundary: DataFrame, plans: Sequence[FitP
         checked_predictions(usable).alias("predictions"))
 
 
-def _walk(plans: Sequence[FitPlan], wf: WalkforwardSettings, n_cells: int,
-          window: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Fit every plan on each split of a group; `window` picks fit and predict positions."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        x, lags, y = (np.stack(pdf[c].to_numpy()) for c in ("x", "log_lags", "log_y"))
-        out: list[pd.DataFrame] = []
-        for split in range(int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]) + 1):
-            bounds = _split_bounds(split, wf)
-            fit_from, fit_to, use_from, use_to = window(bounds[0], bounds)
-            train, use = slice(fit_from, fit_to), slice(use_from, use_to)
-            for plan in plans:
-                log_predictions, converged = LINEAR_MODELS[plan.model_name](
-                    x[train], lags[train], y[train], x[use], lags[use], n_cells, **plan.params)
-                out.append(pd.DataFrame({
-                    "model_name": plan.model_name, "params_id": plan.params_id,
-                    N.SYMBOL: pdf[N.SYMBOL].iloc[0], "split_no": split,
-                    N.DATE: pdf[N.DATE].to_numpy()[use], "converged": converged,
-                    "predictions": list(np.exp(log_predictions)),
-                }))
-        return pd.concat(out, ignore_index=True)
-
-    return run
-
-
 def validation_forecasts(features: DataFrame, plans: Sequence[FitPlan],
                          wf: WalkforwardSettings, tuning_splits: int, grid: SurfaceGrid,
                          settings: FeatureSettings = FeatureSettings()) -> DataFrame:
@@ -177,12 +235,9 @@ def validation_forecasts(features: DataFrame, plans: Sequence[FitPlan],
     last = F.least(F.lit(tuning_splits - 1),
                    F.floor((F.col("n_dates") - wf.first_test - wf.test_size)
                            / F.lit(wf.step_size)).cast("int"))
-    fanned = _fan_out(rows, wf, tuning_splits, F.lit(0), last)
-    schema = ("model_name string, params_id string, underlying_symbol string, split_no int, "
-              "quote_date date, converged boolean, predictions array<double>")
-    fit = _walk(plans, wf, grid.n_cells, lambda lo, b: (lo, b[1], b[1], b[2]))
-    return fanned.select(*N.DAY, "position", "lo", "hi", "bucket", "x", "log_lags",
-                         "log_y").groupBy(N.SYMBOL, "bucket").applyInPandas(fit, schema)
+    windows = _Windows(wf, 0, wf.validation_size)
+    return _walk_forward(rows, _ranges(windows, tuning_splits, F.lit(0), last), plans, windows,
+                         grid.n_cells)
 
 
 def sweep_scores(validation: DataFrame, features: DataFrame, floor: float = 1.0e-8) -> DataFrame:

@@ -1,13 +1,62 @@
-"""Small linear fits used inside walk-forward tasks.
+"""Linear fits from moments, used inside walk-forward tasks.
 
-Each learner gets one split's arrays and returns log predictions plus a convergence flag.
+A fit needs the rows of a split only through their count, mean and scatter matrix. Moments of
+disjoint rows add up (by the pairwise update, which subtracts no large numbers), so an expanding
+split adds its new rows to the moments of the split before. Each learner turns moments into a
+function from rows to log predictions, with a convergence flag.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Count, mean and centred cross products of rows."""
+
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Moments:
+        if not len(rows):
+            return Moments(0, np.zeros(rows.shape[1]), np.zeros((rows.shape[1],) * 2))
+        mean = rows.mean(axis=0)
+        centred = rows - mean
+        return Moments(len(rows), mean, centred.T @ centred)
+
+    def plus(self, other: Moments) -> Moments:
+        if not self.n or not other.n:
+            return other if not self.n else self
+        n, gap = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + gap * (other.n / n), self.scatter + other.scatter
+                       + np.outer(gap, gap) * (self.n * other.n / n))
+
+
+Predictor = Callable[[np.ndarray], np.ndarray]
+
+
+def _scales(mean: np.ndarray, scatter: np.ndarray, n: int) -> np.ndarray:
+    """Population deviations; constant columns keep scale one."""
+    scale = np.sqrt(np.maximum(np.diagonal(scatter), 0.0) / n)
+    return np.where(scale > 10.0 * np.finfo(float).eps * np.abs(mean), scale, 1.0)
+
+
+def _penalised(gram: np.ndarray, cross: np.ndarray, alpha: float, n: int) -> np.ndarray:
+    if n > len(gram):
+        return np.linalg.solve(gram + alpha * np.eye(len(gram)), cross)
+    # fewer rows than columns: most eigenvalues are zero, and only the penalty bounds them
+    values, vectors = np.linalg.eigh(gram)
+    values = np.where(values > values[-1] * len(gram) * np.finfo(float).eps, values, 0.0)
+    inner = vectors.T @ cross
+    return vectors @ np.where(values[:, None] > 0.0, inner / (values + alpha)[:, None], 0.0)
+
+
 def standardise(train: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zero mean, unit population deviation; constant columns keep scale one."""
     centre, scale = train.mean(axis=0), train.std(axis=0)
@@ -27,24 +76,31 @@ def ridge_weights(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarra
     return weights, y_mean - x_mean @ weights
 
 
-def ridge(x, lags, y, x_use, lags_use, n_cells, alpha=1.0):
-    train, use = standardise(x, x_use)
-    weights, intercept = ridge_weights(train, y, alpha)
-    return use @ weights + intercept, True
+def fit_ridge(m: Moments, width: int, n_cells: int, alpha: float = 1.0) -> tuple[Predictor, bool]:
+    mean, scale = m.mean[:width], _scales(m.mean[:width], m.scatter[:width, :width], m.n)
+    gram = m.scatter[:width, :width] / np.outer(scale, scale)
+    weights = _penalised(gram, m.scatter[:width, width:] / scale[:, None], alpha, m.n)
+    return lambda use: ((use - mean) / scale) @ weights + m.mean[width:], True
 
 
-def har_factor(x, lags, y, x_use, lags_use, n_cells, n_factors=5, alpha=1.0):
+def fit_har_factor(m: Moments, width: int, n_cells: int, n_factors: int = 5,
+                   alpha: float = 1.0) -> tuple[Predictor, bool]:
     """Principal factors of the log surface, regressed on the lagged surfaces' factors."""
-    centre = y.mean(axis=0)
-    basis = np.linalg.svd(y - centre, full_matrices=False)[2][: int(n_factors)]
+    centre = m.mean[width:]
+    axes = np.linalg.eigh(m.scatter[width:, width:])[1]
+    basis = axes[:, ::-1][:, : int(n_factors)].T
+    blocks = np.kron(np.eye(width // n_cells), basis.T)  # projects each lagged surface
+    mean = (m.mean[:width] - np.tile(centre, width // n_cells)) @ blocks
+    scatter = blocks.T @ m.scatter[:width, :width] @ blocks
+    scale = _scales(mean, scatter, m.n)
+    cross = blocks.T @ m.scatter[:width, width:] @ basis.T
+    weights = _penalised(scatter / np.outer(scale, scale), cross / scale[:, None], alpha, m.n)
 
-    def factors(stacked: np.ndarray) -> np.ndarray:
-        blocks = stacked.reshape(stacked.shape[0], -1, n_cells)[:, :3]
-        return ((blocks - centre) @ basis.T).reshape(stacked.shape[0], -1)
+    def predict(use: np.ndarray) -> np.ndarray:
+        factors = (use - np.tile(centre, width // n_cells)) @ blocks
+        return (((factors - mean) / scale) @ weights) @ basis + centre
 
-    train, use = standardise(factors(lags), factors(lags_use))
-    weights, intercept = ridge_weights(train, (y - centre) @ basis.T, alpha)
-    return (use @ weights + intercept) @ basis + centre, True
+    return predict, True
 
 
 def _gap(weights, gram, cross, energy, l1, l2):
@@ -63,22 +119,25 @@ def _gap(weights, gram, cross, energy, l1, l2):
     return gap + 0.5 * l2 * (1.0 + shrink * shrink) * float((weights * weights).sum())
 
 
-def elastic_net(x, lags, y, x_use, lags_use, n_cells, alpha=0.01, l1_ratio=0.1,
-                max_iter=50000, tol=1.0e-4):
+def fit_elastic_net(m: Moments, width: int, n_cells: int, alpha: float = 0.01, l1_ratio: float = 0.1,
+                    max_iter: int = 50000, tol: float = 1.0e-4) -> tuple[Predictor, bool]:
     """Multi-task elastic net by accelerated proximal gradient on the Gram matrix.
 
     Minimises |y - xw|^2 / 2n + alpha l1 sum_j |w_j|_2 + alpha (1 - l1) |w|^2 / 2 and has
     converged when the duality gap is at most tol |y|^2.
     """
-    train, use = standardise(x, x_use)
-    n = train.shape[0]
-    y_mean = y.mean(axis=0)
-    target = y - y_mean
-    gram, cross = train.T @ train, train.T @ target
+    n, mean, y_mean = m.n, m.mean[:width], m.mean[width:]
+    scale = _scales(mean, m.scatter[:width, :width], n)
+    gram = m.scatter[:width, :width] / np.outer(scale, scale)
+    cross = m.scatter[:width, width:] / scale[:, None]
     l1, l2 = alpha * l1_ratio * n, alpha * (1.0 - l1_ratio) * n
+
+    def predict(weights: np.ndarray) -> Predictor:
+        return lambda use: ((use - mean) / scale) @ weights + y_mean
+
     if l1 == 0.0:
-        return use @ np.linalg.solve(gram + l2 * np.eye(gram.shape[0]), cross) + y_mean, True
-    energy = float((target * target).sum())
+        return predict(np.linalg.solve(gram + l2 * np.eye(len(gram)), cross)), True
+    energy = float(np.trace(m.scatter[width:, width:]))
     steepest = float(np.linalg.eigvalsh(gram)[-1]) + l2
     root = np.sqrt(l2 / steepest)
     momentum = (1.0 - root) / (1.0 + root)
@@ -91,9 +150,36 @@ def elastic_net(x, lags, y, x_use, lags_use, n_cells, alpha=0.01, l1_ratio=0.1,
         previous, weights = weights, moved * kept
         ahead = weights + momentum * (weights - previous)
         if step % 10 == 0 and _gap(weights, gram, cross, energy, l1, l2) <= tol * energy:
-            return use @ weights + y_mean, True
+            return predict(weights), True
     converged = _gap(weights, gram, cross, energy, l1, l2) <= tol * energy
-    return use @ weights + y_mean, bool(converged)
+    return predict(weights), bool(converged)
+
+
+def _features(x: np.ndarray, lags: np.ndarray, n_cells: int) -> np.ndarray:
+    return x
+
+
+def _lagged_surfaces(x: np.ndarray, lags: np.ndarray, n_cells: int) -> np.ndarray:
+    return lags[:, : 3 * n_cells]
+
+
+#: What a fit reads of each row; learners of one kind share their moments.
+DESIGNS = {"features": _features, "lagged_surfaces": _lagged_surfaces}
+LINEAR_MODELS = {"ridge": ("features", fit_ridge), "elasticnet": ("features", fit_elastic_net),
+                 "har_factor": ("lagged_surfaces", fit_har_factor)}
+
+
+def _at_once(model: str):
+    """Fit on whole arrays and predict others."""
+    kind, fit = LINEAR_MODELS[model]
+
+    def run(x, lags, y, x_use, lags_use, n_cells, *args, **params):
+        design = DESIGNS[kind](x, lags, n_cells)
+        predict, converged = fit(Moments.of(np.hstack([design, y])), design.shape[1], n_cells,
+                                 *args, **params)
+        return predict(DESIGNS[kind](x_use, lags_use, n_cells)), converged
+
+    return run
 
 
-LINEAR_MODELS = {"ridge": ridge, "har_factor": har_factor, "elasticnet": elastic_net}
+ridge, elastic_net, har_factor = (_at_once(k) for k in ("ridge", "elasticnet", "har_factor"))

@@ -188,3 +188,36 @@ def test_replication_means_equal_explicit_samples(n, block, seed):
         for r in range(5):
             index = np.concatenate([(s + np.arange(block)) % n for s in starts[r]])[:n]
             assert got[:, r] == pytest.approx(losses[:, index].mean(axis=1))
+
+
+@pytest.mark.parametrize("rows", [12, 60])
+@pytest.mark.parametrize("model, params", [
+    ("ridge", {"alpha": 2.0}), ("har_factor", {"n_factors": 2, "alpha": 1.0}),
+    ("elasticnet", {"alpha": 0.02, "l1_ratio": 0.3, "tol": 1e-10})])
+def test_fits_from_added_moments_equal_fits_of_all_rows(model, params, rows):
+    rng = np.random.default_rng(rows)
+    x = 1e4 + rng.normal(size=(rows, 15)) * np.geomspace(1e-3, 10.0, 15)
+    lags, y = rng.normal(size=(rows, 12)), rng.normal(size=(rows, 4))
+    x[:, 3] = 7.0                                                   # a constant column
+    kind, fit = learners.LINEAR_MODELS[model]
+    design = learners.DESIGNS[kind](x, lags, 4)
+    joined = np.hstack([design, y])
+    known = learners.Moments.of(joined[:0])
+    for part in np.split(joined, [1, 5, 5, rows - 2]):
+        known = known.plus(learners.Moments.of(part))
+    predict, _ = fit(known, design.shape[1], 4, **params)
+    direct = {"ridge": learners.ridge, "har_factor": learners.har_factor,
+              "elasticnet": learners.elastic_net}[model]
+    np.testing.assert_allclose(predict(design), direct(x, lags, y, x, lags, 4, **params)[0],
+                               rtol=1e-6, atol=1e-8)
+
+
+def test_ridge_from_moments_solves_the_normal_equations():
+    rng = np.random.default_rng(8)
+    for n in (9, 80):
+        x, y = 50.0 + rng.normal(size=(n, 12)), rng.normal(size=(n, 4))
+        z, use = learners.standardise(x, rng.normal(size=(3, 12)) + 50.0)
+        weights, intercept = learners.ridge_weights(z, y, 0.7)
+        fresh = use * x.std(axis=0) + x.mean(axis=0)
+        got, _ = learners.ridge(x, None, y, fresh, None, 4, 0.7)
+        np.testing.assert_allclose(got, use @ weights + intercept, rtol=1e-7, atol=1e-9)
