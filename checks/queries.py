@@ -13,8 +13,8 @@ from checks import view as v
 from optionlake import deploy
 from optionlake import names as N
 from optionlake.operators import calendar as cal
-from optionlake.operators import (compare, contracts, evaluate, features, forecast, hedge, panel,
-                                  pooled, report, shape, splits, surface)
+from optionlake.operators import (compare, contracts, evaluate, features, forecast, forest, hedge,
+                                  panel, pooled, report, shape, splits, surface)
 from optionlake.plans.pipeline import GATES, Run, RunSettings
 from optionlake.sources import quotes as qs
 from optionlake.sources import tables
@@ -1018,8 +1018,15 @@ def _pooled(run: Run, model: str, params: dict) -> DataFrame:
     return forecast.write_forecasts_long(made, run.grid)
 
 
-register("forecast_forest", FITTED)(lambda run: _pooled(
-    run, "random_forest", {"n_estimators": 20, "max_depth": 6}))
+@register("forecast_forest", FITTED)
+def _forest(run: Run) -> DataFrame:
+    """The multi-output forest on every clean split."""
+    made = forest.forest_forecasts(
+        run.tables, run.features(), splits.clean_splits(run.splits(), SETTINGS.tuning_splits), "run",
+        forest.ForestSettings(n_trees=20, max_depth=6))
+    return forecast.write_forecasts_long(made, run.grid)
+
+
 register("forecast_boosted", FITTED)(lambda run: _pooled(
     run, "boosted", {"n_estimators": 20, "max_depth": 4}))
 register("forecast_pooled_ridge", FITTED)(lambda run: _pooled(run, "pooled_ridge", {"alpha": 0.01}))

@@ -193,7 +193,7 @@ def _walk_forward(rows: DataFrame, ranges: Column, plans: Sequence[FitPlan], win
                             "converged": converged,
                             "predictions": list(np.exp(predict(design[use])))}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {c.split()[0]: [] for c in PREDICTED.split(", ")})
+            columns=[c.split()[0] for c in PREDICTED.split(", ")], dtype=object)
 
     keys = (N.SYMBOL, "kind", "bucket")
     return own.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(fit, PREDICTED)

@@ -1,8 +1,8 @@
 """Forecast models fitted across all underlyings with distributed MLlib learners.
 
 One model per split (and surface factor) is trained on the rows of every underlying, so the
-fit itself is a Spark job and no group has to fit into one task. The tree learners differ
-from the reference's: trees are grown per principal factor of the log surface.
+fit itself is a Spark job and no group has to fit into one task. Boosted trees are grown per
+principal factor of the log surface; the multi-output forest is in ``forest``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +23,6 @@ from optionlake.operators.forecast import checked_predictions, config_hash, trai
 from optionlake.operators.splits import split_id
 
 LEARNERS = {
-    "random_forest": lambda params: RandomForestRegressor(
-        numTrees=int(params.get("n_estimators", 30)), maxDepth=int(params.get("max_depth", 10)),
-        minInstancesPerNode=int(params.get("min_samples_leaf", 5)),
-        seed=int(params.get("random_state", 7))),
     "boosted": lambda params: GBTRegressor(
         maxIter=int(params.get("n_estimators", 50)), maxDepth=int(params.get("max_depth", 5)),
         stepSize=float(params.get("learning_rate", 0.05)),

@@ -15,6 +15,7 @@ from optionlake.functions.sqlmath import not_finite
 from optionlake.operators import calendar as cal
 from optionlake.operators import compare, evaluate, forecast, hedge, panel, splits, surface
 from optionlake.operators.features import FeatureSettings, build_features
+from optionlake.operators.forest import ForestSettings, forest_forecasts
 from optionlake.operators.gate import Gate, KeySet, summary
 from optionlake.sources import quotes
 from optionlake.sources.stages import StageTables
@@ -40,6 +41,7 @@ class RunSettings:
     positive_floor: float = 1.0e-8
     run_id: str = "run"
     fitted: tuple[forecast.FitPlan, ...] = ()
+    forest: ForestSettings | None = None
     # NULL: from the quotes, with CALENDAR_PADDING on both sides
     calendar_start: dt.date | None = None
     calendar_end: dt.date | None = None
@@ -160,6 +162,10 @@ class Run:
                 made = made.unionByName(forecast.fit_forecasts(
                     self.features(), self.boundary(), s.fitted, s.walkforward, self.grid,
                     s.run_id, s.features))
+            if s.forest:
+                members = splits.clean_splits(self.splits(), s.tuning_splits)
+                made = made.unionByName(forest_forecasts(
+                    self.tables, self.features(), members, s.run_id, s.forest, s.features))
             return made
 
         def gate() -> Gate:
@@ -174,7 +180,8 @@ class Run:
     def models(self) -> tuple[str, ...]:
         """Names of all models of the run."""
         return tuple(dict.fromkeys((*forecast.PROJECTED_MODELS,
-                                    *(p.model_name for p in self.settings.fitted))))
+                                    *(p.model_name for p in self.settings.fitted),
+                                    *(("random_forest",) if self.settings.forest else ()))))
 
     def panel(self) -> DataFrame:
         return evaluate.realization_panel(self.forecasts(), self.gold(), self.grid,
