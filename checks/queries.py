@@ -140,14 +140,12 @@ def _day_table(run: Run, name: str, df: Callable[[], DataFrame]) -> str:
 
 @register("read_panel", DAY + " n_rows:i vega:d6", """
 SELECT underlying_symbol, quote_date, count(*) AS n_rows, sum(vega_1545) AS vega
-FROM flagged WHERE quote_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY ALL""")
+FROM flagged GROUP BY ALL""")
 def _read_panel(run: Run) -> DataFrame:
-    """Partitioned write, then a read that prunes to one year of day folders."""
+    """Partitioned write, then a read of all day folders."""
     path = _day_table(run, "silver", run.silver)
-    back = tables.read_panel(run.tables.spark, path)
-    year = panel.in_sample_window(back, dt.date(1998, 1, 1), dt.date(1998, 12, 31))
-    return year.groupBy(*N.DAY).agg(F.count(F.lit(1)).alias("n_rows"),
-                                    F.sum("vega_1545").alias("vega"))
+    return tables.read_panel(run.tables.spark, path).groupBy(*N.DAY).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("vega_1545").alias("vega"))
 
 
 @register("read_gold_surfaces", DAY + " n_cells:i observed_cells:i total:d8", """
@@ -188,16 +186,18 @@ register("add_derived_fields", FLAGGED, "derived")(lambda run: panel.add_derived
 
 
 @register("add_decision_timestamp", DAY + " effective_decision_timestamp:s n_rows:i", """
-SELECT q.underlying_symbol, q.quote_date, count(*) AS n_rows,
-       CAST(q.quote_date AS VARCHAR) || CASE WHEN any_value(s.early) THEN 'T12:45:00-0' ELSE 'T15:45:00-0' END
-       || CAST(CAST((epoch(any_value(s.decision_ts)) - epoch(q.quote_date
+SELECT q.underlying_symbol, s.session_date AS quote_date, count(*) AS n_rows,
+       CAST(s.session_date AS VARCHAR) || CASE WHEN any_value(s.early) THEN 'T12:45:00-0' ELSE 'T15:45:00-0' END
+       || CAST(CAST((epoch(any_value(s.decision_ts)) - epoch(s.session_date
             + CASE WHEN any_value(s.early) THEN TIME '12:45:00' ELSE TIME '15:45:00' END)) / 3600
           AS BIGINT) AS VARCHAR) || ':00' AS effective_decision_timestamp
-FROM quotes q JOIN session_days s ON q.quote_date = s.session_date
-GROUP BY q.underlying_symbol, q.quote_date""")
+FROM quotes q ASOF JOIN session_days s ON q.quote_date >= s.session_date
+GROUP BY q.underlying_symbol, s.session_date""")
 def _decision(run: Run) -> DataFrame:
+    """Quotes of exchange holidays count for the session before."""
     lookup = v.exchange_lookup(run.tables.spark)
-    traded = cal.with_session(run.bronze(), lookup, columns=("is_session",)).filter("is_session")
+    settled = cal.with_session(run.bronze(), lookup, columns=("settlement_session",))
+    traded = settled.withColumn(N.DATE, F.col("settlement_session")).drop("settlement_session")
     return cal.add_decision_timestamp(traded, lookup).groupBy(*N.DAY, N.DECISION_TS).agg(
         F.count(F.lit(1)).alias("n_rows"))
 

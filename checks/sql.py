@@ -52,12 +52,13 @@ SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'BBB' ELSE 'AAA' END AS underlying_symbo
 FROM (SELECT *, (cents % 801) / 1000E0 - 0.3995E0 AS m,
              CAST(1000 + (dn * 37) % 41 AS DOUBLE) AS spot
       FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
-                   CAST(l_shipdate AS DATE) AS quote_date,
-                   date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS dn,
+                   CAST(DATE '1995-01-01' + shipped - greatest((shipped + 6) % 7 - 4, 0) AS DATE)
+                     AS quote_date,
+                   shipped - greatest((shipped + 6) % 7 - 4, 0) AS dn,
                    CAST((l_partkey * 7 + l_suppkey * 13) % 401 AS INTEGER) AS exp_days,
                    l_suppkey, l_linenumber, l_quantity, l_discount, l_tax
-            FROM lineitem)
-      WHERE (dn + 6) % 7 < 5)
+            FROM (SELECT *, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))
+                                 AS INTEGER) AS shipped FROM lineitem)))
 """)
 
 part("derived", """

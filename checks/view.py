@@ -19,16 +19,20 @@ DAY_ZERO = dt.date(1995, 1, 1)
 
 
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze-shaped quotes, weekdays only, with the calendar-free maturity days / 365."""
+    """Bronze-shaped quotes of every row, with the calendar-free maturity days / 365.
+
+    Rows shipped on a weekend quote on the Friday before.
+    """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    shipped = F.datediff(F.col("l_shipdate").cast("date"), F.lit(DAY_ZERO))
+    day = shipped - F.greatest((shipped + 6) % 7 - 4, F.lit(0))
     quantity, discount = F.col("l_quantity"), F.col("l_discount")
     base = items.select(
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-        F.datediff(F.col("l_shipdate").cast("date"), F.lit(DAY_ZERO)).alias("dn"),
-        F.col("l_shipdate").cast("date").alias("quote_date"),
+        day.alias("dn"), F.date_add(F.lit(DAY_ZERO), day).alias("quote_date"),
         ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 401).cast("int").alias("exp_days"),
         "l_suppkey", "l_linenumber", quantity, discount, "l_tax",
-    ).filter((F.col("dn") + 6) % 7 < 5)
+    )
     cents = F.col("cents")
     m = (cents % 801) / F.lit(1000.0) - 0.3995
     spot = (F.lit(1000) + (F.col("dn") * 37) % 41).cast("double")
