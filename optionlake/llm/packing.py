@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,29 +45,42 @@ def public_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-_encoders: dict[tuple[str, str], object] = {}
+def public_vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """``public_ranks`` and the added tokens of byte_bpe_50k.json, which texts may spell out."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    return *public_ranks(), tuple((t["content"], t["id"]) for t in added)
+
 
+_encoders: dict[tuple, object] = {}
 
-def encoder(ranks: str, pattern: str):
-    """A byte-level BPE encoder from a rank file, read once in a process."""
+
+def encoder(ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """A byte-level BPE encoder from a rank file, read once in a process.
+
+    The strings of ``added`` tokens in a text become those tokens; without any, all text is plain.
+    """
     import tiktoken
 
-    if (ranks, pattern) not in _encoders:
+    key = ranks, pattern, added
+    if key not in _encoders:
         with open(ranks, "rb") as file:
             table = {base64.b64decode(t): int(n) for t, n in map(bytes.split, file)}
-        _encoders[ranks, pattern] = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _encoders[ranks, pattern]
+        _encoders[key] = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(added))
+    return _encoders[key]
 
 
 PIECE = ("doc_id long, known boolean, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long")
 
 
-def _pieces(ranks: str, pattern: str, settings: PackSettings):
+def _pieces(ranks: str, pattern: str, added: tuple[tuple[str, int], ...], settings: PackSettings):
     """doc_id, start, doc_tokens, n, crc32 and (of rests only) the ids of each piece."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern)
+        encode = encoder(ranks, pattern, added)
         end = np.array([settings.end_id], np.uint32)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in (
@@ -74,7 +88,7 @@ def _pieces(ranks: str, pattern: str, settings: PackSettings):
             columns = (batch.column(k) for k in ("doc_id", "known", "bin", "text"))
             for doc, known, bin_, text in zip(*columns, strict=True):
                 ids = np.concatenate([
-                    encode.encode_to_numpy(text.as_py() or "", disallowed_special=()), end])
+                    encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), end])
                 for start in range(0, len(ids), settings.length):
                     piece = ids[start:start + settings.length].astype("<u4").tobytes()
                     whole = len(piece) == 4 * settings.length
@@ -135,15 +149,21 @@ def _pack(settings: PackSettings):
 
 
 def packed(spark: SparkSession, docs: DataFrame, ranks: str, pattern: str,
+           added: tuple[tuple[str, int], ...] = (),
            settings: PackSettings = PackSettings()) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Rows are dealt over bins by id, text and a row number within the partition they are read in,
+    so rows that share all columns spread as well.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
                        F.col("doc_id").isNotNull().alias("known"),
                        F.col("text").cast("string").alias("text"))
     bins = max(1, -(-rows.count() // settings.rests_per_bin))
-    spread = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(17)), F.lit(bins))
+    salt = F.monotonically_increasing_id()
+    spread = F.pmod(F.xxhash64("doc_id", F.crc32("text"), salt), F.lit(bins))
     return rows.withColumn("bin", spread).mapInArrow(
-        _pieces(ranks, pattern, settings),
+        _pieces(ranks, pattern, added, settings),
         "doc_id long, known boolean, bin long, start long, doc_tokens long, length long, ids_crc32 long, ids binary",
     ).groupBy("bin").applyInPandas(_pack(settings), PIECE).withColumn(
         "doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")

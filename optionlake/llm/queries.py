@@ -54,7 +54,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.packed(spark, _table(spark, sf_dir, "documents"), *packing.public_ranks())
+    return packing.packed(spark, _table(spark, sf_dir, "documents"), *packing.public_vocabulary())
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

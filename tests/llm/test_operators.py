@@ -152,7 +152,7 @@ def test_packing_round_trip(spark, request, table):
     docs = request.getfixturevalue(table)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     settings = packing.PackSettings(length=256, rests_per_bin=64)
-    pieces = packing.packed(spark, docs, *packing.public_ranks(), settings).collect()
+    pieces = packing.packed(spark, docs, *packing.public_vocabulary(), settings).collect()
     want = collections.Counter()
     for i, text in texts(docs):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -183,13 +183,22 @@ def test_packing_checksums(spark, small):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    docs = dict(texts(small))
-    for p in packing.packed(spark, small, *packing.public_ranks()).collect():
+    docs = dict(texts(small)) | {-1: "hello <|endoftext|> you", -2: "<|endoftext|><|endoftext|>x <|endof"}
+    told = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for p in packing.packed(spark, told, *packing.public_vocabulary()).collect():
         ids = tokenizer.encode(docs[p.doc_id] or "", add_special_tokens=False).ids + [1]
         piece = b"".join(x.to_bytes(4, "little") for x in ids[p.start:p.start + p.length])
         assert (zlib.crc32(piece), len(ids)) == (p.ids_crc32, p.doc_tokens)
 
 
+def test_rows_alike_spread_over_bins(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    settings = packing.PackSettings(rests_per_bin=500)
+    pieces = packing.packed(spark, docs, *packing.public_vocabulary(), settings).select("sequence_id")
+    bins = collections.Counter(r.sequence_id >> 40 for r in pieces.collect())
+    assert len(bins) == 6 and max(bins.values()) < 700
+
+
 # --- WARC ----------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, folder):
@@ -338,8 +347,7 @@ def test_lines_match_all_pairs(spark, small):
         for at, line in enumerate((t or "").split("\n")):
             if WORD.search(line):
                 first.setdefault(line, (i, at))
-                w = line.split(" ")
-                sets[line] = {*zip(w, [*w[1:], None], strict=True)}
+                sets[line] = {line[k:k + 5] for k in range(max(len(line) - 4, 1))}
     names = list(sets)
     root = {x: x for x in names}
 
