@@ -102,7 +102,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED,
     """Per text with duplicates: doc, key, and (start, ref_doc, ref_start) of each later window.
 
     ``docs`` has doc (long), key (checksum of the text) and text. The first occurrence of a window
-    is its smallest (doc, key, start); it is the reference of all later ones.
+    is its smallest (doc, key, start); it is the reference of all later ones. Repeated rows give
+    the same windows, which count once.
     """
     bitmap = repeated_anchors(docs, width, seed, bits)
     windows = docs.mapInArrow(_window_rows(width, seed, bits, bitmap),
@@ -113,7 +114,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED,
                                "doc > ref_doc or place > ref_place")
     start, low = "cast(place & 4294967295 as int)", "cast(ref_place & 4294967295 as int)"
     return later.groupBy("doc", F.shiftright("place", 32).alias("key")).agg(F.sort_array(
-        F.collect_list(F.struct(F.expr(start).alias("start"), "ref_doc",
+        F.collect_set(F.struct(F.expr(start).alias("start"), "ref_doc",
                                 F.expr(low).alias("ref_start")))).alias("found"))
 
 

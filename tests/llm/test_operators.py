@@ -100,6 +100,14 @@ def test_substring_factors_name_equal_earlier_text(spark, small):
             assert (f.ref_doc_id, f.ref_start) < (row.doc_id, f.start)
 
 
+def test_repeated_rows_have_the_factors_of_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] + [(2, text)] * 3, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, tuple(tuple(f) for f in r.factors))
+                 for r in substrings.deduplicated(spark, docs).collect())
+    assert got == [(1, 0, ())] + [(2, 60, ((0, 60, 1, 0),))] * 3
+
+
 # --- rules ---------------------------------------------------------------------------------
 
 def brute_rules(text):
