@@ -1,10 +1,11 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions only.
+"""Fuzzy line dedup by MinHash.
 
 The shingles of a line are all its character ``gram``-grams (a line shorter than that is one gram).
 Signatures are minima of their hashes, made once for each distinct line. Lines that agree in a band
 of signatures are compared by the exact Jaccard similarity of their whole gram sets. A distributed
 union-find turns the links into components; of each component, copies included, the first line in
-the order (doc_id, line number) stays.
+the order (doc_id, line number) stays. Signatures and similarities are NumPy on Arrow batches, in
+chunks of bounded size; a distinct line is known by its MD5.
 
 Lines are parts between newlines. Blank ones always stay. Null texts stay null and have no lines.
 Rows that share doc_id and text are one document: they lose and keep the same lines. Nulls in
@@ -13,14 +14,21 @@ doc_id come first. Other columns are carried by ``clean_lines`` and may have any
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from optionlake.llm import textbytes
 from optionlake.llm.grouping import bucket_links
 from optionlake.sources.stages import StageTables
 
+_ROW_BITS = np.uint64(48)
+
 
 @dataclass(frozen=True)
 class LineSettings:
@@ -31,60 +39,106 @@ class LineSettings:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, line, node) of each line that is not blank."""
+    """(doc_id, text_key, at, line) of each line that is not blank."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                        F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter("line rlike '[^ \\t-\\r]'").withColumn("node", F.xxhash64("line"))
-
-
-def _grams(chars: str, gram: int) -> Column:
-    """Hashes of the distinct grams of an array of characters."""
-    ahead = [F.slice(chars, k + 1, F.size(chars)).alias(f"c{k}") for k in range(gram)]
-    whole = F.slice(F.arrays_zip(*ahead), 1, F.greatest(F.size(chars) - (gram - 1), F.lit(1)))
-    return F.array_distinct(F.transform(
-        whole, lambda s: F.xxhash64(*(s[f"c{k}"] for k in range(gram)))))
-
-
-def _signatures(docs: DataFrame, settings: LineSettings) -> DataFrame:
-    """(node, bucket): the band keys of each distinct line."""
-    half = settings.bands * settings.rows // 2 + settings.bands * settings.rows % 2
-    # dealt by node, so that the minima below need no shuffle of their own
-    chars = _lines(docs).select("node", "line").dropDuplicates(["node"]).select(
-        "node", F.split("line", "").alias("chars"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("chars") - settings.gram, F.lit(0)))
-    hashes = chars.select("node", "chars", F.explode(starts).alias("i")).select("node", F.xxhash64(
-        *(F.get("chars", F.col("i") + k) for k in range(settings.gram))).alias("h")).select(
-        "node", *(F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(half)))
-    # each 64-bit hash serves two samples, by its upper and its lower 32 bits
-    least = hashes.groupBy("node").agg(
-        *(F.min(F.shiftright(f"x{k}", 32).cast("int")).alias(f"m{2 * k}") for k in range(half)),
-        *(F.min(F.shiftright(F.shiftleft(f"x{k}", 32), 32).cast("int")).alias(f"m{2 * k + 1}")
-          for k in range(half)))
-    keys = [F.xxhash64(F.lit(b), *(f"m{b * settings.rows + r}" for r in range(settings.rows)))
-            for b in range(settings.bands)]
-    return least.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    return rows.filter("line rlike '[^ \\t-\\r]'")
+
+
+def _node():
+    return F.unhex(F.md5("line")).alias("node")
+
+
+def grams(chunk: textbytes.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all character grams of a chunk of lines, and where each line's begin."""
+    starts = np.flatnonzero(chunk.data & 0xC0 != 0x80)
+    at = np.searchsorted(starts, chunk.bounds)
+    chars = np.diff(at)
+    counts = np.where(chars > 0, np.maximum(chars - (width - 1), 1), 0)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    rows = np.repeat(np.arange(chunk.rows), counts)
+    low = np.arange(begin[-1]) - begin[:-1][rows] + at[:-1][rows]
+    high = np.minimum(low + width, at[1:][rows])
+    edges = np.append(starts, len(chunk.data))
+    return textbytes.Rolling(chunk.data + np.uint16(1)).spans(edges[low], edges[high]), begin
+
+
+def _band_rows(settings: LineSettings):
+    """(bucket, key) rows: the band keys of each line, copies in a batch once."""
+    count = settings.bands * settings.rows
+    seeds = textbytes.mix(np.arange(1, count + 1, dtype=np.uint64))
+    factors = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    shifts = seeds.astype(np.uint32)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys_in = batch.column("key").to_numpy()
+            batch = batch.take(pa.array(np.sort(np.unique(keys_in, return_index=True)[1])))
+            for low, high, chunk in textbytes.chunks(batch.column("line")):
+                ids, begin = grams(chunk, settings.gram)
+                hashes = (ids >> np.uint64(32)).astype(np.uint32)
+                work = np.empty_like(hashes)
+                samples = np.empty((chunk.rows, count), np.uint64)
+                for k in range(count):
+                    np.multiply(hashes, factors[k], out=work)
+                    np.add(work, shifts[k], out=work)
+                    samples[:, k] = np.minimum.reduceat(work, begin[:-1])
+                samples = samples.reshape(chunk.rows, settings.bands, settings.rows)
+                keys = np.broadcast_to(np.arange(settings.bands, dtype=np.uint64),
+                                       samples.shape[:2]).copy()
+                for k in range(settings.rows):
+                    keys = textbytes.mix(keys ^ samples[:, :, k])
+                own = np.repeat(batch.column("key").to_numpy()[low:high], settings.bands)
+                yield pa.record_batch({"bucket": keys.reshape(-1).view(np.int64), "key": own})
+    return build
+
+
+def _gram_sets(chunk: textbytes.Chunk, width: int) -> np.ndarray:
+    """Sorted distinct (row, 48-bit gram) keys of a chunk."""
+    ids, begin = grams(chunk, width)
+    rows = np.repeat(np.arange(chunk.rows, dtype=np.uint64), np.diff(begin))
+    return np.unique(rows << _ROW_BITS | ids >> np.uint64(16))
+
+
+def _similarities(width: int):
+    """(a, b, sim) from pairs with both lines, many pairs at once."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(f"line_{x}") for x in "ab")
+            sims = np.zeros(batch.num_rows)
+            for low, high, chunk in textbytes.chunks(left):
+                # lines of one pair may differ in length, so the right side has chunks of its own
+                for skip, stop, other in textbytes.chunks(right.slice(low, high - low)):
+                    one = textbytes.Chunk(chunk.data[chunk.bounds[skip]:chunk.bounds[stop]],
+                                          chunk.bounds[skip:stop + 1] - chunk.bounds[skip])
+                    of_a, of_b = _gram_sets(one, width), _gram_sets(other, width)
+                    both = np.intersect1d(of_a, of_b, assume_unique=True)
+                    n_a, n_b, n = (np.bincount((x >> _ROW_BITS).astype(np.int64), minlength=one.rows)
+                                   for x in (of_a, of_b, both))
+                    sims[low + skip:low + stop] = n / (n_a + n_b - n)
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "sim": sims})
+    return build
 
 
 def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
                 stages: StageTables) -> DataFrame:
     """(node, component) of the lines that are similar to another line."""
-    keyed = stages.get("keyed", lambda: _signatures(docs, settings))
-    shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = stages.get("shared", lambda: keyed.join(shared, "bucket", "left_semi"))
-    wanted = members.select("node").distinct()
-    # gram sets are several times as large as their lines, so they are made for each pair
-    texts = stages.get("texts", lambda: _lines(docs).select("node", "line").join(
-        wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # short keys find the candidates in one shuffle by bucket; only lines that meet another are kept
+    found = _lines(docs).select(F.xxhash64("line").alias("key"), "line")
+    keyed = found.mapInArrow(_band_rows(settings), "bucket long, key long").repartition("bucket")
+    met = stages.get("met", lambda: keyed.distinct().withColumn(
+        "n", F.count("*").over(W.partitionBy("bucket"))).filter("n > 1").drop("n"))
+    # from here on a line is known by its MD5; lines that share a key are told apart again
+    texts = stages.get("texts", lambda: found.join(
+        met.select("key").distinct(), "key", "left_semi").distinct().select("key", _node(), "line"))
+    members = stages.get("members", lambda: met.join(texts.select("key", "node"), "key").select(
+        "bucket", "node"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         right = texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
         left = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-        sets = pairs.join(right, "b").join(left, "a").select("a", "b", *(
-            F.split(f"line_{x}", "").alias(f"chars_{x}") for x in "ab")).select(
-            "a", "b", *(_grams(f"chars_{x}", settings.gram).alias(f"of_{x}") for x in "ab"))
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        sim = both / (F.size("of_a") + F.size("of_b") - both)
-        return sets.select("a", "b", sim.alias("sim"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "line_a", "line_b").mapInArrow(
+            _similarities(settings.gram), "a binary, b binary, sim double")
 
     return bucket_links(stages, members, verify, settings.threshold, "lines")
 
@@ -97,7 +151,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame,
                        F.col("text").cast("string").alias("text"))
     groups = line_groups(spark, rows, settings, stages)
     places = stages.get("places", lambda: _lines(rows).select(
-        "node", F.struct("doc_id", "text_key", "at").alias("place")).distinct())
+        _node(), F.struct("doc_id", "text_key", "at").alias("place")).distinct())
     firsts = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(groups, "node", "left")
     alone = firsts.filter("component is null and n > 1").select("node", F.col("first").alias("keeper"))
@@ -109,18 +163,25 @@ def removed_lines(spark: SparkSession, docs: DataFrame,
         "place.doc_id", "place.text_key").agg(F.sort_array(F.collect_list("place.at")).alias("removed"))
 
 
+def _marks():
+    """True for each removed line, up to the last of them."""
+    gap = "array_repeat(false, r - coalesce(get(removed, i - 1), -1) - 1)"
+    return F.expr(f"flatten(transform(removed, (r, i) -> concat({gap}, array(true))))")
+
+
 def clean_lines(spark: SparkSession, docs: DataFrame,
                 settings: LineSettings = LineSettings()) -> DataFrame:
     """The rows of ``docs``, all columns, without the removed lines; last, their numbers."""
     gone = removed_lines(spark, docs, settings).select(
-        F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key"), "removed")
+        F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key"), "removed", _marks().alias("marks"))
     left, name = docs, "removed_lines"
     while name in docs.columns:
         name = "_" + name
     joined = left.alias("l").join(gone.alias("g"), F.expr(
         "cast(l.doc_id as bigint) <=> g.gone_doc and xxhash64(l.text) = g.gone_key"), "left")
-    kept = F.expr("array_join(filter(split(l.text, '\n'), "
-                  "(line, i) -> not array_contains(g.removed, i)), '\n')")
+    both = F.arrays_zip(F.split("l.text", "\n").alias("line"), F.col("g.marks").alias("mark"))
+    kept = F.array_join(F.transform(F.filter(
+        both, lambda x: ~F.coalesce(x["mark"], F.lit(False))), lambda x: x["line"]), "\n")
     text = F.when(F.col("g.removed").isNull(), F.col("l.text")).otherwise(kept)
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"l.`{c}`")
                            for c in docs.columns),

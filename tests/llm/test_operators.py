@@ -391,6 +391,17 @@ def test_lines_edges(spark, edges):
     assert lines.clean_lines(spark, empty(edges)).count() == 0
 
 
+def test_lines_many_equal_and_long(spark):
+    """A document of very many equal lines, and lines longer than a chunk that differ in one place."""
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(700_000))
+    rows = [(1, "same line here\n" * 40_000 + "last"), (2, "other\nsame line here"),
+            (3, long), (4, long[:1000] + "#" + long[1000:]), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, len(r.removed_lines)) for r in lines.clean_lines(spark, docs).collect()}
+    assert got == {1: ("same line here\n\nlast".replace("\n\n", "\n"), 39_999), 2: ("other", 1),
+                   3: (long, 0), 4: ("", 1), 5: (None, 0)}
+
+
 def test_lines_link_by_character_grams(spark):
     """Brute force over all character 5-grams; word shingles link none of these pairs."""
     rows = [(1, "the quick brown fox jumps over the lazy dog near the river"),
