@@ -4,9 +4,18 @@ Records are gzip members in files of bounded size under a folder that all execut
 records with equal payloads of at least ``least`` bytes, the one with the largest id is the
 response and the others refer to it; a revisit repeats digest and length, not the payload.
 
-The reader takes each file member by member. After a failed check (no member or version line, a
-broken stream, bad header, wrong length or digest) it looks for the next member or version line
-that gives a valid record, goes on from there, and logs the bytes between as a quarantined gap.
+The reader takes each file member by member and each member record by record. After a failed check
+(no member or version line, a broken stream, bad header, wrong length or digest) it looks for the
+next member or version line that gives a valid record, goes on from there, and logs the bytes
+between as a quarantined gap. Valid records of a damaged member are kept: those around a bad record,
+those before a cut, and of a member whose stream is broken those whose digest agrees. Gaps are byte
+ranges of the file; for a bad record inside a compressed member it is the member's range, and the
+reason names the decoded bytes.
+
+Archives of other writers are read too: every record needs a version line and Content-Length only.
+page_id and refers_to are null where an id is not one of this writer's. Block and payload digests
+are checked where they are SHA-1; the payload of an HTTP message begins after its headers. An
+archive may hold at most 2 GB, the bound of Spark's binary file source.
 
 Null payloads are empty, a null id is kept as an empty field and read back as null; rows that
 repeat are written each, and share one response id. Other columns are ignored.
@@ -16,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +38,9 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 _MAGIC = b"\x1f\x8b\x08"
 _FEED = 1 << 14
+_PAGE = re.compile("<urn:page:([0-9-]+)>")
 RECORD = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
-          "refers_to long, target string, payload binary")
+          "refers_to long, target string, payload binary, record_id string, refers_to_id string")
 GAP = "file string, gap_start long, gap_end long, reason string"
 
 
@@ -121,29 +132,55 @@ def _headers(block: bytes) -> dict[str, str] | None:
     return {k.lower(): v.strip() for k, _, v in pairs}
 
 
+def _page(name: str | None) -> int | None:
+    found = _PAGE.fullmatch(name or "")
+    return int(found[1]) if found else None
+
+
+def _agrees(stated: str | None, block: bytes) -> bool | None:
+    """Whether a stated SHA-1 (base 32 or hexadecimal) is that of the bytes; None if none is stated."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    found = hashlib.sha1(block)
+    return value.upper() in (base64.b32encode(found.digest()).decode(), found.hexdigest().upper())
+
+
 def parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """(record, its end, "") for a valid plain record at ``at``; else (None, at, reason)."""
+    """(record, its end, "") for a valid plain record at ``at``; else (None, at, reason).
+
+    ``checked`` in the record tells whether a digest was compared.
+    """
     cut = data.find(b"\r\n\r\n", at)
     head = _headers(data[at:cut]) if cut >= 0 else None
     if head is None:
         return None, at, "no version line or unfinished header"
     try:
-        size, full = int(head["content-length"]), int(head["x-payload-length"])
-        name, refers = head["warc-record-id"], head.get("warc-refers-to", "<urn:page:>")
-        page = [int(x[10:-1]) if x[10:-1] else None for x in (name, refers)]
-        digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
+        size = int(head["content-length"])
+        full = int(head["x-payload-length"]) if "x-payload-length" in head else None
+        kind = head["warc-type"].lower()
     except (KeyError, ValueError):
         return None, at, "bad header"
     end = cut + 4 + size
     if size < 0 or data[end:end + 4] != b"\r\n\r\n":
         return None, at, "wrong length"
-    payload = data[cut + 4:end]
-    if kind == "response" and (len(payload) != full or base64.b32encode(
-            hashlib.sha1(payload).digest()).decode() != digest):
+    block = payload = data[cut + 4:end]
+    if head.get("content-type", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    stated = head.get("warc-payload-digest")
+    whole = _agrees(head.get("warc-block-digest"), block)
+    part = None if kind == "revisit" else _agrees(stated, payload)
+    if whole is False or (part is False and not whole) or (
+            kind == "response" and full not in (None, len(payload))):
         return None, at, "wrong digest"
-    return {"page_id": page[0], "payload_bytes": full, "payload_digest": digest, "record_type": kind,
-            "refers_to": page[1], "target": head.get("warc-target-uri"),
-            "payload": payload if kind == "response" else None}, end + 4, ""
+    digest = (stated or "").partition(":")[2] or (None if kind == "revisit" else base64.b32encode(
+        hashlib.sha1(payload).digest()).decode())
+    name, refers = head.get("warc-record-id"), head.get("warc-refers-to")
+    return {"page_id": _page(name), "payload_bytes": len(payload) if full is None else full,
+            "payload_digest": digest, "record_type": kind, "refers_to": _page(refers),
+            "target": head.get("warc-target-uri"), "record_id": name, "refers_to_id": refers,
+            "payload": None if kind == "revisit" else payload,
+            "checked": bool(whole or part)}, end + 4, ""
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -151,37 +188,79 @@ def _next_start(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
+def _decoded(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(decoded bytes, end of the member, reason if it is damaged) of the gzip member at ``at``."""
+    unpack, parts, fed = zlib.decompressobj(31), [], at
+    try:
+        while not unpack.eof and fed < len(data):
+            before = unpack.copy()
+            parts.append(unpack.decompress(data[fed:fed + _FEED]))
+            fed += _FEED
+    except zlib.error as error:
+        # what comes before the fault, byte by byte
+        try:
+            for k in range(fed, min(fed + _FEED, len(data))):
+                parts.append(before.decompress(data[k:k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, f"broken member: {error}"
+    end = min(fed, len(data)) - len(unpack.unused_data)
+    return b"".join(parts), end, "" if unpack.eof else "unfinished member"
+
+
+def _inside(plain: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
+    """(record or None, start, end, reason) over decoded bytes, which it covers without a gap."""
+    at, bad, reason = 0, None, ""
+    while at < len(plain):
+        row, end, why = parse(plain, at)
+        if row is None:
+            bad, reason = (at, why) if bad is None else (bad, reason)
+            at = plain.find(b"WARC/1.", at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if bad is not None:
+            yield None, bad, at, reason
+            bad = None
+        yield row, at, end, ""
+        at = end
+    if bad is not None:
+        yield None, bad, len(plain), reason
+
+
 def salvage(data: bytes) -> Iterator[tuple[dict | None, tuple[int, int, str] | None]]:
     """(record, None) or (None, gap) in file order; a gap is (start, end, reason)."""
     at, gap, reason = 0, None, ""
+    kept: set[bytes] = set()  # records of the damaged member, whose bytes may lie open in the file
     while at < len(data):
-        rows, end, why = [], at, "no member or version line"
+        rows, end, why, inner = [], at, "no member or version line", []
         if data.startswith(_MAGIC, at):
-            unpack, parts, fed = zlib.decompressobj(31), [], at
-            try:
-                while not unpack.eof and fed < len(data):
-                    parts.append(unpack.decompress(data[fed:fed + _FEED]))
-                    fed += _FEED
-                plain, inner = b"".join(parts), 0
-                why = "" if unpack.eof else "unfinished member"
-                while not why and inner < len(plain):
-                    row, inner, why = parse(plain, inner)
-                    rows.append(row)
-                end = min(fed, len(data)) - len(unpack.unused_data)
-                why = why or ("" if rows else "empty member")
-            except zlib.error as error:
-                why = f"broken member: {error}"
+            plain, end, why = _decoded(data, at)
+            found = list(_inside(plain))
+            rows = [row for row, *_ in found
+                    if row and (not why.startswith("broken") or row["checked"])]
+            inner = [f"decoded bytes {a} to {b}: {r}" for row, a, b, r in found if row is None]
+            if why:
+                kept |= {hashlib.sha1(plain[a:b]).digest() for row, a, b, _ in found if row}
+            elif not found:
+                why = "empty member"
         elif data.startswith(b"WARC/1.", at):
             row, end, why = parse(data, at)
-            rows = [row]
+            rows = [row] if row else []
+            if row and kept and hashlib.sha1(data[at:end]).digest() in kept:
+                at = _next_start(data, end)
+                continue
+        if not why:
+            kept.clear()
+        if gap is not None and (rows or not why):
+            yield None, (gap, at, reason)
+            gap = None
+        yield from ((row, None) for row in rows)
         if why:
             gap, reason = (at, why) if gap is None else (gap, reason)
             at = _next_start(data, at + 1)
             continue
-        if gap is not None:
-            yield None, (gap, at, reason)
-            gap = None
-        yield from ((row, None) for row in rows)
+        if inner:
+            yield None, (at, end, "; ".join(inner))
         at = end
     if gap is not None:
         yield None, (gap, len(data), reason)
@@ -191,7 +270,8 @@ def _reader(want_gaps: bool):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [c.split()[0] for c in (GAP if want_gaps else RECORD).split(", ")]
         kinds = {"payload": pa.binary(), "payload_digest": pa.string(), "record_type": pa.string(),
-                 "target": pa.string(), "file": pa.string(), "reason": pa.string()}
+                 "target": pa.string(), "record_id": pa.string(),
+                 "refers_to_id": pa.string(), "file": pa.string(), "reason": pa.string()}
 
         def pack(rows: list[dict]) -> pa.RecordBatch:
             return pa.record_batch({k: pa.array([r[k] for r in rows], kinds.get(k, pa.int64()))

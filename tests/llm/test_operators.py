@@ -233,7 +233,8 @@ def test_warc_salvage_logs_gaps():
     rows, gaps = [], []
     for row, gap in warc.salvage(data):
         (rows if row else gaps).append(row or gap)
-    assert [r["page_id"] for r in rows] == [0, 2]
+    # the last member lacks its end, but its record is whole and its digest agrees
+    assert [r["page_id"] for r in rows] == [0, 2, 3]
     assert [g[:2] for g in gaps] == [(len(good[0]), len(good[0] + broken) + 4),
                                      (len(data) - len(good[3]) + 9, len(data))]
 
@@ -246,6 +247,50 @@ def test_warc_salvages_plain_records():
     assert [g[2] for _, g in found if g] == ["wrong digest"]
 
 
+def found_in(data):
+    found = list(warc.salvage(data))
+    return [r["page_id"] for r, _ in found if r], [g for _, g in found if g]
+
+
+def test_warc_salvages_inside_members():
+    plain = [warc.record(i, "u", b"payload %d" % i * 50, None) for i in range(4)]
+    bad = plain[1].replace(b"payload 1", b"payloax 1", 1)
+    whole = warc.member(plain[0] + bad + plain[2])
+    ids, gaps = found_in(whole + warc.member(plain[3]))
+    assert ids == [0, 2, 3] and [g[:2] for g in gaps] == [(0, len(whole))]
+    assert "wrong digest" in gaps[0][2]
+    for level in (0, 1):  # at level 0 the records lie open in the file and are still given once
+        cut = warc.member(plain[0] + plain[1] + plain[2], level)[:-20]
+        ids, gaps = found_in(cut + warc.member(plain[3]))
+        assert ids[:2] == [0, 1] and ids[-1] == 3 and len(ids) == len(set(ids))
+        assert gaps[-1][1] <= len(cut)
+        ids, gaps = found_in(cut)
+        assert ids[:2] == [0, 1] and len(ids) == len(set(ids)) and gaps[-1][1] == len(cut)
+
+
+def test_warc_reads_other_writers(spark, folder):
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+
+    def foreign(kind, block, *extra):
+        lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:1>",
+                 b"Content-Length: %d" % len(block), *extra]
+        return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"Content-Type: application/http; msgtype=response"
+    digest = b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"<p>hi</p>").digest())
+    wrong = b"WARC-Block-Digest: sha1:" + hashlib.sha1(b"other").hexdigest().encode()
+    data = (warc.member(foreign(b"warcinfo", b"software: x")) + warc.member(foreign(
+        b"response", message, http, digest)) + warc.member(foreign(b"response", message, http, wrong)))
+    with open(folder + "/a.warc.gz", "wb") as out:
+        out.write(data)
+    got = warc.read_archives(spark, folder).orderBy("record_type").collect()
+    assert [(r.record_type, bytes(r.payload), r.page_id, r.record_id) for r in got] == [
+        ("response", b"<p>hi</p>", None, "<urn:uuid:1>"),
+        ("warcinfo", b"software: x", None, "<urn:uuid:1>")]
+    assert got[0].payload_bytes == 9
+    assert warc.read_gaps(spark, folder).count() == 1
+
+
 def test_warc_least_size_and_empty_table(spark, folder):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy")], "page_id long, url string, html string")
     assert warc.marked(pages, 3).filter("original is not null").count() == 0
