@@ -473,6 +473,34 @@ SELECT unnest(['feature_surface_mean_01', 'feature_surface_mean_05', 'feature_su
  'target_vega_weight', 'target_training_weight', 'target_date']) AS column_name,
  (SELECT count(*) FROM feat WHERE target_date <= quote_date) AS n_rows""")(
     lambda run: contracts.leakage_check(run.features()))
+LATE = ", ".join(f"count(*) FILTER (newest_{days} > decided) AS n_{days}" for days in (1, 2, 5, 22))
+
+
+@register("leakage_lineage", "column_name:s n_rows:i", f"""
+WITH known AS (
+  SELECT underlying_symbol, quote_date, quote_date + TIME '15:45:00' AS decided, quote_date + TIME '15:45:00'
+    + CASE WHEN day(quote_date) <= 10 THEN INTERVAL 156 HOUR ELSE INTERVAL 0 HOUR END AS known_at
+  FROM (SELECT DISTINCT underlying_symbol, quote_date FROM gold)),
+traced AS (SELECT underlying_symbol, quote_date, decided, {", ".join(
+    f"max(known_at) OVER (PARTITION BY underlying_symbol ORDER BY quote_date "
+    f"ROWS BETWEEN {days - 1} PRECEDING AND CURRENT ROW) AS newest_{days}" for days in (1, 2, 5, 22))}
+  FROM known),
+counts AS (SELECT {LATE} FROM traced
+  SEMI JOIN (SELECT DISTINCT underlying_symbol, quote_date FROM feat) USING (underlying_symbol, quote_date))
+SELECT unnest(['feature_surface_mean_01', 'feature_surface_mean_05', 'feature_surface_mean_22',
+  'feature_surface_change_01', 'feature_mask_mean_01', 'feature_mask_mean_05', 'feature_mask_mean_22',
+  'feature_coverage_ratio', 'feature_daily_option_count', 'feature_daily_vega_sum',
+  'feature_daily_weighted_spread_1545']) AS column_name,
+  unnest([n_1, n_5, n_22, n_2, n_1, n_5, n_22, n_1, n_1, n_1, n_1]) AS n_rows FROM counts""")
+def _lineage(run: Run) -> DataFrame:
+    """Surfaces of the first ten days of a month are revised 156 hours later: a leak to be found."""
+    revised = F.when(F.dayofmonth(N.DATE) <= 10, F.expr("interval 156 hours")).otherwise(
+        F.expr("interval 0 hours"))
+    gold = run.gold().withColumn("known_at", F.to_timestamp(N.DECISION_TS) + revised)
+    late = contracts.leakage_check(run.features(), features.feature_lineage(gold, "known_at"))
+    return late.filter("column_name like 'feature%'")
+
+
 register("walkforward_splits", "underlying_symbol:s split_id:s role:s quote_date:t", "split_rows")(
     lambda run: splits.walkforward_splits(run.features(), WALKFORWARD))
 register("clean_boundary", "underlying_symbol:s max_hpo_validation_date:t first_clean_test_split_id:s "
@@ -940,11 +968,9 @@ JOIN (SELECT underlying_symbol, quote_date FROM
           "observation_count:i", """
 SELECT underlying_symbol, quote_date, maturity_index * 5 + moneyness_index AS cell_index,
        observed_total_variance, vega_sum, observation_count
-FROM cells_seen
-WHERE quote_date + 1 <= (SELECT max(timezone('UTC', timezone('America/New_York',
-  quote_date + TIME '15:45:00'))) - INTERVAL 1 DAY FROM cells_seen)""")
+FROM cells_seen""")
 def _streamed(run: Run) -> DataFrame:
-    """The panel read as a stream until it is exhausted; days within the watermark stay open."""
+    """The panel read as a stream until it is exhausted, with the days that are still open."""
     spark, name = run.tables.spark, "stream_source"
     source = run.tables.get(name, lambda: run.assigned().withColumn(
         "decision_ts", F.to_timestamp(N.DECISION_TS)))
@@ -956,7 +982,8 @@ def _streamed(run: Run) -> DataFrame:
             availableNow=True).start()
         query.awaitTermination()
         run.tables._written.add("streamed")
-    return spark.read.parquet(run.tables.path("streamed"))
+    return spark.read.parquet(run.tables.path("streamed")).unionByName(
+        jobs.open_days(spark, run.tables.path("streamed_checkpoint")))
 
 
 # ---- fitted models: no SQL form -------------------------------------------------------

@@ -172,12 +172,23 @@ def check_mask_weights(panel: DataFrame, keys: tuple[str, ...]) -> DataFrame:
              "or not weight_sum > 0")
 
 
-def leakage_check(features: DataFrame) -> DataFrame:
-    """Feature rows known too late, or targets not after the decision, per column role."""
-    known = [(c, *role_of_column(c)) for c in features.columns]
+def leakage_check(features: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
+    """Feature rows known too late, or targets not after the decision, per column role.
+
+    With ``feature_lineage`` a feature is judged by the newest surface that went into it, and counts
+    as late too if its lineage is unknown; without, by the instant its role declares.
+    """
+    traced = set()
+    if lineage is not None:
+        traced = set(lineage.schema["newest"].dataType.names)
+        features = features.join(lineage, list(N.DAY), "left")
+    known = [(c, *role_of_column(c)) for c in features.columns if c != "newest"]
     late = {}
     for column, role, reference in known:
-        if role == "model_feature":
+        if column in traced:
+            newest = F.col(f"newest.{column}")
+            late[column] = newest.isNull() | (newest > F.to_timestamp(N.DECISION_TS))
+        elif role == "model_feature":
             late[column] = F.col(reference) > F.col(N.DECISION_TS)
         elif role in ("target", "target_weight"):
             late[column] = F.col(reference) <= F.col(N.DECISION_TS)

@@ -120,6 +120,26 @@ def build_features(gold_days: DataFrame, grid: SurfaceGrid, lookup: DataFrame,
     return days.join(identities, list(N.DAY), "inner")
 
 
+def feature_lineage(gold_days: DataFrame, known_at: str = N.DECISION_TS,
+                    settings: FeatureSettings = FeatureSettings()) -> DataFrame:
+    """(underlying, date, ``newest``): per feature, the newest instant of all surfaces in its window.
+
+    ``known_at`` names the instant at which a day's surface was known, later than its decision if
+    it was revised. Surfaces are dense, so windows over days are those of every cell: one row a day.
+    """
+    line = Window.partitionBy(N.SYMBOL).orderBy(N.DATE)
+    reach = {name: days for days, name in zip(settings.lag_windows, settings.surface_blocks)}
+    if settings.include_daily_change:
+        reach["feature_surface_change_01"] = 2
+    if settings.include_mask:
+        reach |= {f"feature_mask_mean_{days:02d}": days for days in settings.lag_windows}
+    reach |= dict.fromkeys(settings.scalars, 1)
+    known = F.to_timestamp(known_at)
+    newest = [F.max(known).over(line.rowsBetween(1 - days, 0)).alias(name)
+              for name, days in reach.items()]
+    return gold_days.select(*N.DAY, known_at).distinct().select(*N.DAY, F.struct(*newest).alias("newest"))
+
+
 def feature_vector(settings: FeatureSettings = FeatureSettings()) -> Column:
     """All features of a day as one array in model order."""
     scalars = [F.array(*[F.col(s).cast("double") for s in settings.scalars])] \

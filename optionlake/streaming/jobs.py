@@ -50,7 +50,8 @@ def stream_observed_surface(assigned: DataFrame, settings: SurfaceSettings,
     """Vega-weighted cells of a stream of assigned quotes, one result per closed day.
 
     Event time is the decision instant in `decision_ts`; quotes later than the watermark are
-    dropped by the engine and show in the query's numRowsDroppedByWatermark.
+    dropped by the engine; `late_counts` counts them. Days inside the watermark stay open when a
+    stream ends: `open_days` reads them from its state.
     """
     vega = F.col("vega_1545")
     cell = settings.grid.cell_index(F.col("maturity_index"), F.col("moneyness_index"))
@@ -63,6 +64,37 @@ def stream_observed_surface(assigned: DataFrame, settings: SurfaceSettings,
              "observed_total_variance", "vega_sum", "observation_count")
 
 
+def open_days(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The days that a stopped `stream_observed_surface` has not closed, as it would emit them.
+
+    Read from the aggregate's own state at its last commit, so nothing is read or added up again;
+    together with what the stream has emitted it is the surface of every row that was not late.
+    """
+    # both sums are named `sum` in the state, so its fields are named anew by position
+    key = f"struct<day: struct<start: timestamp, end: timestamp>, {N.SYMBOL}: string, cell_index: int>"
+    sums = "struct<weighted: double, vega_sum: double, observation_count: bigint>"
+    state = spark.read.format("statestore").load(checkpoint).select(
+        F.col("key").cast(key).alias("k"), F.col("value").cast(sums).alias("v"))
+    return state.select("k.*", "v.*").select(
+        N.SYMBOL, F.to_date("day.start").alias(N.DATE), "cell_index",
+        ratio(F.col("weighted"), F.col("vega_sum")).alias("observed_total_variance"),
+        "vega_sum", "observation_count")
+
+
+def late_counts(assigned: DataFrame, surface: DataFrame) -> DataFrame:
+    """(underlying, date, n_arrived, n_counted, n_late) of the days on which quotes came too late.
+
+    ``surface`` holds emitted and open days; both sides are added up before they meet.
+    """
+    arrived = assigned.filter("inside_grid_domain").groupBy(
+        N.SYMBOL, F.to_date("decision_ts").alias(N.DATE)).agg(F.count(F.lit(1)).alias("n_arrived"))
+    counted = surface.groupBy(*N.DAY).agg(F.sum("observation_count").alias("n_counted"))
+    late = F.col("n_arrived") - F.coalesce("n_counted", F.lit(0))
+    return arrived.join(counted, list(N.DAY), "left").select(
+        *N.DAY, "n_arrived", F.coalesce("n_counted", F.lit(0)).alias("n_counted"),
+        late.alias("n_late")).filter("n_late <> 0")
+
+
 def affected_days(changed: DataFrame, days: DataFrame, max_lag: int) -> DataFrame:
     """Observed dates whose features change when the given days change.
 

@@ -261,3 +261,11 @@ def test_streamed_surface_closes_days_and_drops_late_rows(spark, folder):
     rows = {r.quote_date: r for r in spark.read.parquet(out).collect()}
     assert rows[D(2021, 1, 4)].observed_total_variance == pytest.approx(0.0775)
     assert rows[D(2021, 1, 4)].observation_count == 2 and dropped == 1
+    # the last day is inside the watermark; its state and the late row are accounted for
+    still = jobs.open_days(spark, mark)
+    last, = still.filter("quote_date = date'2021-01-12'").collect()
+    assert (last.observed_total_variance, last.observation_count) == (pytest.approx(0.02), 1)
+    surface = spark.read.parquet(out).unionByName(still)
+    assert sorted(r.quote_date.day for r in surface.collect()) == [4, 8, 12]
+    counts = jobs.late_counts(spark.read.parquet(source), surface).collect()
+    assert [(r.quote_date.day, r.n_arrived, r.n_counted, r.n_late) for r in counts] == [(4, 3, 2, 1)]

@@ -94,6 +94,27 @@ def test_widened_layout_and_roles(spark, lookup):
     assert contracts.leakage_check(swapped).filter("n_rows > 0").count() == 16
 
 
+def test_leakage_follows_lag_windows(spark, lookup):
+    """A surface revised five days later leaks into the features whose window reaches it."""
+    gold = history(spark, 30).withColumn(N.DECISION_TS, F.date_format(N.DATE, "yyyy-MM-dd'T'00:00:00"))
+    days = weekdays(30)
+    made = features.build_features(gold, GRID, lookup)
+    on_time = features.feature_lineage(gold)
+    assert contracts.leakage_check(made, on_time).filter("n_rows > 0").count() == 0
+    revised = gold.withColumn("known_at", F.to_timestamp(N.DECISION_TS) + F.when(
+        F.col(N.DATE) == days[24], F.expr("interval 60 hours")).otherwise(F.expr("interval 0 hours")))
+    late = {r.column_name: r.n_rows for r in contracts.leakage_check(
+        made, features.feature_lineage(revised, "known_at")).collect()}
+    known = dt.datetime.combine(days[24], dt.time()) + dt.timedelta(hours=60)
+    used = {1: days[24:25], 2: days[24:26], 5: days[24:29], 22: days[24:]}
+    want = {n: sum(dt.datetime.combine(d, dt.time()) < known for d in ds) for n, ds in used.items()}
+    assert [late[f"feature_surface_mean_{n:02d}"] for n in (1, 5, 22)] == [want[n] for n in (1, 5, 22)]
+    assert late["feature_surface_change_01"] == want[2] and late["feature_mask_mean_01"] == want[1]
+    assert late["target_total_variance"] == 0 and want[1] == 1
+    missing = features.feature_lineage(gold.filter(F.col(N.DATE) != days[24]))
+    assert contracts.leakage_check(made, missing).filter("n_rows > 0").count() > 0
+
+
 def test_training_weight_contract(spark):
     def weights(mask, vega):
         df = spark.createDataFrame([(mask, vega)], "m double, v double")
