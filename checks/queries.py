@@ -459,6 +459,14 @@ def _widen(run: Run) -> DataFrame:
     return wide
 
 
+BLOCKS = ("mean_01", "mean_05", "mean_22", "change_01", "mask_01", "mask_05", "mask_22")
+register("feature_matrix", DAY + " position:i value:d8", "\nUNION ALL\n".join(
+    [f"SELECT underlying_symbol, quote_date, {20 * k} + cell_index AS position, {name} AS value FROM feat"
+     for k, name in enumerate(BLOCKS)] + [f"""
+SELECT underlying_symbol, quote_date, {20 * len(BLOCKS) + k} AS position, {name} AS value FROM liquid
+SEMI JOIN feat USING (underlying_symbol, quote_date)""" for k, name in enumerate(features.LIQUIDITY_FEATURES)]))(
+    lambda run: run.features().select(*N.DAY, F.posexplode(features.feature_vector()).alias(
+        "position", "value")))
 register("training_weights", DAY + " weight_sum:d6 observed:i", """
 SELECT underlying_symbol, quote_date, sum(CASE WHEN target_mask = 1 THEN target_vega ELSE 1 END) AS weight_sum,
        count(*) FILTER (target_mask = 1) AS observed FROM feat GROUP BY ALL""")(
@@ -656,6 +664,21 @@ WHERE model_name = 'mean22' AND dayofmonth(target_date) = 15""")(
 register("diebold_mariano", SERIES + " model_b:s n_obs:i mean_loss_a:d9 mean_loss_b:d9 "
          "mean_differential:d10 long_run_variance:d9 statistic:d6 p_value:d9", "dm")(
     lambda run: compare.diebold_mariano(run.losses(), BENCHMARK, "greater", 2))
+@register("load_test_records", SERIES + " model_b:s n_obs:i statistic:d6 p_value:d9",
+          f"SELECT * FROM dm WHERE loss_metric = '{MSE}'")
+def _stored_tests(run: Run) -> DataFrame:
+    run.tables.get("dm_records", lambda: compare.diebold_mariano(run.losses(), BENCHMARK, "greater", 2))
+    return tables.load_test_records(run.tables.spark, run.tables.path("dm_records"), MSE)
+
+
+@register("write_report_table", MODEL_DAY + f" {MSE}:d9", "SELECT * FROM daily")
+def _report_table(run: Run) -> DataFrame:
+    """Every daily loss as a report, read back from its exact copy."""
+    path = run.tables.path("daily_report")
+    tables.write_report_table(run.daily_loss(), path, (*N.DAY, "model_name", N.TARGET_DATE))
+    return run.tables.spark.read.parquet(f"{path}/parquet")
+
+
 register("block_bootstrap", SERIES + " model_name:s rep:i rep_mean:d9", "rep_means_7")(
     lambda run: compare.bootstrap_means(run.loss_series(), 5, 500, 7).select(
         *compare.SERIES, F.explode(F.arrays_zip("models", "rep_means")).alias("m")).select(

@@ -72,10 +72,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def write_report_table(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """One ordered CSV file with six decimals plus an exact parquet copy of a small report."""
-    ordered = df.orderBy(*order) if order else df
-    ordered.coalesce(1).write.mode("overwrite").parquet(f"{path}/parquet")
-    rounded(ordered).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    """An ordered CSV table with six decimals plus an exact parquet copy.
+
+    A large report is written as sorted parts, in the order of their names; a small one is one part.
+    """
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*order) if order else rows
+
+    ordered(df).write.mode("overwrite").parquet(f"{path}/parquet")
+    stored = df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet")
+    rounded(ordered(stored)).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
 def load_test_records(spark: SparkSession, path: str, loss_metric: str,
