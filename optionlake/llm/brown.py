@@ -209,10 +209,31 @@ class Classes:
         return np.where(found, own, self.shape_classes[shape]), found
 
 
-def _contexts(known: Classes, count: int):
-    """(word, slot, n): the class before (slot < count) or after it; from 2 * count on, class pairs."""
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by (word, slot), sorted."""
+    words, slots, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((slots, words))
+    words, slots, n = words[order], slots[order], n[order]
+    first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (slots[1:] != slots[:-1])])
+    return words[first], slots[first], np.add.reduceat(n, first)
+
+
+def _contexts(known: Classes, count: int, held: int = 1 << 20):
+    """(word, slot, n): the class before (slot < count) or after it; from 2 * count on, class pairs.
+
+    Counts of many chunks are added up in the task, ``held`` entries at most, so that words of the
+    whole task, not of one chunk, reach the shuffle once.
+    """
+    def rows(words: np.ndarray, slots: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(words), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.record_batch({"word": words[part].view(np.int64), "slot": slots[part],
+                                   "n": n[part]})
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(count * count, np.int64)
+        parts: list[tuple] = []
+        size = 0
         for batch in batches:
             for _, _, chunk in textbytes.chunks(batch.column("text")):
                 hashes, shape, _ = tokens(chunk, known.shapes)
@@ -224,11 +245,17 @@ def _contexts(known: Classes, count: int):
                 keys = np.concatenate([at * 2 * count + before[inner],
                                        at * 2 * count + count + of[inner + 1]])
                 keys, n = np.unique(keys, return_counts=True)
-                for i in range(0, len(keys), 1 << 16):
-                    part = keys[i:i + (1 << 16)]
-                    yield pa.record_batch({"word": words[part // (2 * count)].view(np.int64),
-                                           "slot": (part % (2 * count)).astype(np.int32),
-                                           "n": n[i:i + (1 << 16)]})
+                if len(keys):
+                    parts.append((words[keys // (2 * count)], (keys % (2 * count)).astype(np.int32), n))
+                    size += len(keys)
+                if size > held:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0])
+                    if size > held // 2:
+                        yield from rows(*parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield from rows(*_merged(parts))
         at = np.flatnonzero(pairs)
         yield pa.record_batch({"word": np.zeros(len(at), np.int64),
                                "slot": (2 * count + at).astype(np.int32), "n": pairs[at]})

@@ -7,6 +7,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,7 +595,7 @@ def test_brown_base_scores(spark, request, table):
     assert all(r.score < 0 and r.perplexity > 1 for r in scored)
 
 
-def test_brown_beats_unigrams_and_normalises(spark, small):
+def test_brown_beats_unigrams(spark, small):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = brown.scores(spark, small, held).filter("held_out").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
@@ -625,6 +627,76 @@ def test_brown_places_rare_words_by_context(spark):
     assert of(animals) == of(["dog"]) != of(colours) == of(["red"])
 
 
+def test_brown_scores_follow_from_classes(spark):
+    """The score is the sum of class transitions and emissions, and both are distributions."""
+    from optionlake.llm import textbytes
+    from optionlake.sources.stages import StageTables
+
+    rows = [(i, " ".join(f"w{(i * k * k + 3 * k) % 37}{'xyz'[k % 3]}" for k in range(i % 9 + 1)))
+            for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = brown.BrownSettings(classes=6, frequent=10, shapes=4, local=20)
+    _, table = brown.train(spark, docs, settings, StageTables(spark))
+    by_hash = {r.word: (r.n, r["class"]) for r in table.collect()}
+
+    def known(text):
+        (_, _, chunk), = textbytes.chunks(pa.array([text]))
+        return [*(by_hash[int(h)] for h in chunk.word_hashes(fold_case=True).view(np.int64)),
+                by_hash[int(brown.END)]]
+
+    moves, mass, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for n, c in by_hash.values():
+        mass[c] += n
+        kinds[c] += 1
+    for _, text in rows:
+        of = [c for _, c in known(text)]
+        moves.update(zip([settings.classes - 1, *of[:-1]], of, strict=True))
+    a, count = settings.smoothing, settings.classes
+
+    def move(c, d):
+        return (moves[c, d] + a) / (sum(moves[c, x] for x in range(count)) + a * count)
+
+    def emit(n, c):
+        return (n + 1) / (mass[c] + kinds[c] + 1)
+
+    for c in range(count):
+        assert abs(sum(move(c, d) for d in range(count)) - 1) < 1e-12
+        unknown = 1 / (mass[c] + kinds[c] + 1)
+        assert abs(sum(emit(n, d) for n, d in by_hash.values() if d == c) + unknown - 1) < 1e-12
+    want = {}
+    for i, text in rows:
+        seen = known(text)
+        want[i] = sum(math.log10(move(c, d)) + math.log10(emit(n, d)) for c, (n, d) in zip(
+            [settings.classes - 1, *(c for _, c in seen[:-1])], seen, strict=True))
+    got = {r.doc_id: r.score for r in brown.scores(spark, docs, None, settings).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_brown_contexts_add_up_in_the_task():
+    """Counts are the same however many entries a task holds before it writes."""
+    from optionlake.llm import textbytes
+
+    texts_ = ["a b c a b", "", "b a c d e", "e e e a b"] * 3
+    units = brown.Units(np.array([], np.uint64), 4)
+    known = brown.Classes(units, np.arange(5) % 3, np.array([], np.uint64), np.array([], np.int64))
+
+    def counted(held):
+        batches = (pa.record_batch({"text": pa.array([t])}) for t in texts_)
+        out = collections.Counter()
+        for batch in brown._contexts(known, 3, held)(batches):
+            for r in batch.to_pylist():
+                out[r["word"], r["slot"]] += r["n"]
+        return out
+
+    want = counted(1 << 20)
+    assert want == counted(0) == counted(5)
+    (_, _, chunk), = textbytes.chunks(pa.array([" ".join(texts_)]))
+    words_ = collections.Counter(chunk.word_hashes(fold_case=True).view(np.int64).tolist())
+    for word, n in words_.items():
+        assert sum(k for (w, slot), k in want.items() if w == word and slot < 3) == n
+        assert sum(k for (w, slot), k in want.items() if w == word and 3 <= slot < 6) == n
+
+
 def test_exchange_ends_where_no_move_helps():
     import numpy as np
 
