@@ -209,56 +209,33 @@ class Classes:
         return np.where(found, own, self.shape_classes[shape]), found
 
 
-def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (word, slot), sorted."""
-    words, slots, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((slots, words))
-    words, slots, n = words[order], slots[order], n[order]
-    first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (slots[1:] != slots[:-1])])
-    return words[first], slots[first], np.add.reduceat(n, first)
+def _contexts(known: Classes, fixed: np.ndarray, count: int):
+    """(word, slot, n) of words not ``fixed`` (sorted): the class before (slot < count) or after.
 
-
-def _contexts(known: Classes, count: int, held: int = 1 << 20):
-    """(word, slot, n): the class before (slot < count) or after it; from 2 * count on, class pairs.
-
-    Counts of many chunks are added up in the task, ``held`` entries at most, so that words of the
-    whole task, not of one chunk, reach the shuffle once.
+    Rows of slot 2 * count hold the class pairs of all tokens instead, by number of the pair.
     """
-    def rows(words: np.ndarray, slots: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(words), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.record_batch({"word": words[part].view(np.int64), "slot": slots[part],
-                                   "n": n[part]})
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(count * count, np.int64)
-        parts: list[tuple] = []
-        size = 0
         for batch in batches:
             for _, _, chunk in textbytes.chunks(batch.column("text")):
                 hashes, shape, _ = tokens(chunk, known.shapes)
                 of, _ = known.of(hashes, shape)
                 before = np.concatenate([[count - 1], of[:-1]])
                 pairs += np.bincount(before * count + of, minlength=len(pairs))
-                inner = np.flatnonzero(hashes != END)  # a word is never the last token of a text
+                # a word is never the last token of a text
+                inner = np.flatnonzero(~_lookup(fixed, hashes)[1] & (hashes != END))
                 words, at = np.unique(hashes[inner], return_inverse=True)
                 keys = np.concatenate([at * 2 * count + before[inner],
                                        at * 2 * count + count + of[inner + 1]])
                 keys, n = np.unique(keys, return_counts=True)
-                if len(keys):
-                    parts.append((words[keys // (2 * count)], (keys % (2 * count)).astype(np.int32), n))
-                    size += len(keys)
-                if size > held:
-                    parts = [_merged(parts)]
-                    size = len(parts[0][0])
-                    if size > held // 2:
-                        yield from rows(*parts[0])
-                        parts, size = [], 0
-        if parts:
-            yield from rows(*_merged(parts))
+                for i in range(0, len(keys), 1 << 16):
+                    part = keys[i:i + (1 << 16)]
+                    yield pa.record_batch({"word": words[part // (2 * count)].view(np.int64),
+                                           "slot": (part % (2 * count)).astype(np.int32),
+                                           "n": n[i:i + (1 << 16)]})
         at = np.flatnonzero(pairs)
-        yield pa.record_batch({"word": np.zeros(len(at), np.int64),
-                               "slot": (2 * count + at).astype(np.int32), "n": pairs[at]})
+        yield pa.record_batch({"word": at, "slot": np.full(len(at), 2 * count, np.int32),
+                               "n": pairs[at]})
     return build
 
 
@@ -279,10 +256,10 @@ def _placed(between: np.ndarray, smoothing: float):
             lists = batch.column("seen")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             flat = lists.flatten()
-            counts = np.zeros((batch.num_rows, 2 * len(between)))
+            counts = np.zeros((batch.num_rows, 2 * len(between) + 1))
             counts[row, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
             yield pa.record_batch({"word": batch.column("word"), "class": place(
-                counts, between, smoothing).astype(np.int32)})
+                counts[:, :-1], between, smoothing).astype(np.int32)})
     return build
 
 
@@ -320,17 +297,19 @@ def train(spark: SparkSession, docs: DataFrame, settings: BrownSettings,
         "fixed": np.append(of[:len(units.words)], of[-1]).astype(np.int32)}))
     known = Classes(units, of, units.words, of[:len(units.words)])
     for number in range(settings.rounds):
+        # few rows of a word meet before the shuffle, so they are added up after it only
         seen = stages.get(f"contexts-{number}", lambda k=known: texts.mapInArrow(
-            _contexts(k, classes), "word long, slot int, n long").groupBy("word", "slot").agg(
-                F.sum("n").alias("n")))
-        pairs = seen.filter(F.col("slot") >= 2 * classes).toArrow()
+            _contexts(k, units.words, classes), "word long, slot int, n long").repartition(
+                "word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(
+                    F.collect_list(F.struct("slot", "n")).alias("seen")))
+        pairs = seen.filter(F.col("word").between(0, classes * classes - 1)).select(
+            "word", F.inline("seen")).filter(F.col("slot") == 2 * classes).toArrow()
         between = np.zeros(classes * classes)
-        between[pairs["slot"].to_numpy() - 2 * classes] = pairs["n"].to_numpy()
+        between[pairs["word"].to_numpy()] = pairs["n"].to_numpy()
         between = between.reshape(classes, classes)
         words = stages.get(f"words-{number}", lambda s=seen, b=between: counts.select("word", "n").join(
-            s.filter(F.col("slot") < 2 * classes).groupBy("word").agg(
-                F.collect_list(F.struct("slot", "n")).alias("seen")).mapInArrow(
-                    _placed(b, settings.smoothing), "word long, class int"), "word", "left").join(
+            s.filter(F.exists("seen", lambda x: x["slot"] < 2 * classes)).mapInArrow(
+                _placed(b, settings.smoothing), "word long, class int"), "word", "left").join(
             F.broadcast(fixed), "word", "left").select(
                 "word", "n", F.coalesce("fixed", "class").alias("class")))
         if number + 1 < settings.rounds:
