@@ -14,7 +14,8 @@ from optionlake import deploy
 from optionlake import names as N
 from optionlake.operators import calendar as cal
 from optionlake.operators import (compare, contracts, evaluate, features, forecast, forest, hedge,
-                                  panel, pooled, report, shape, splits, surface)
+                                  panel, pooled, ranks, report, shape, splits,
+                                  surface)
 from optionlake.plans.pipeline import GATES, Run, RunSettings
 from optionlake.sources import quotes as qs
 from optionlake.sources import tables
@@ -1037,8 +1038,20 @@ def _scores(run: Run) -> DataFrame:
 
 register("validation_sweep", "underlying_symbol:s model_name:s best_params:s best_score:d9 n_params:i "
          "n_splits:i")(lambda run: forecast.validation_sweep(_scores(run)))
+register("quote_percentiles", "underlying_symbol:s option_type:s share:d3 value:d6 n:i", """
+WITH wanted AS (SELECT unnest([0.05, 0.5, 0.95]) AS share),
+     prices AS (SELECT underlying_symbol, option_type, CAST(bid_1545 AS DOUBLE) AS x FROM quotes
+                WHERE isfinite(bid_1545)),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY underlying_symbol, option_type ORDER BY x) - 1 AS place,
+                       count(*) OVER (PARTITION BY underlying_symbol, option_type) AS n FROM prices)
+SELECT underlying_symbol, option_type, share,
+       sum(x * (1 - abs((n - 1) * share - place))) AS value, any_value(n) AS n
+FROM ranked, wanted WHERE place IN (floor((n - 1) * share), ceil((n - 1) * share))
+GROUP BY ALL""")(lambda run: ranks.percentiles(
+    run.tables, run.bronze().filter("abs(bid_1545) < double('infinity')"),
+    (N.SYMBOL, "option_type"), "bid_1545", (0.05, 0.5, 0.95), "quote-percentiles"))
 register("tuning_medians", "model_name:s median_observed_mse_total_variance:d9 n_rows:i")(
-    lambda run: forecast.tuning_medians(_scores(run), (MSE, QLIKE)))
+    lambda run: forecast.tuning_medians(_scores(run), (MSE, QLIKE), run.tables))
 
 
 

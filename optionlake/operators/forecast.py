@@ -23,8 +23,10 @@ from optionlake.functions.grid import SurfaceGrid
 from optionlake.functions.sqlmath import log_positive, not_finite
 from optionlake.operators.features import FeatureSettings, feature_vector
 from optionlake.operators.learners import DESIGNS, LINEAR_MODELS, Moments
+from optionlake.operators.ranks import percentiles
 from optionlake.operators.splits import WalkforwardSettings, date_positions, split_id
 from optionlake.operators.surface import dense_rows
+from optionlake.sources.stages import StageTables
 
 PROJECTED_MODELS = {"naive": "feature_surface_mean_01", "mean5": "feature_surface_mean_05",
                     "mean22": "feature_surface_mean_22"}
@@ -276,11 +278,14 @@ def validation_sweep(scores: DataFrame, metric: str = "observed_mse_total_varian
         F.max("n_splits").alias("n_splits"))
 
 
-def tuning_medians(scores: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Median of sweep diagnostics per model."""
-    return scores.groupBy("model_name").agg(
-        *[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in columns],
-        F.count(F.lit(1)).alias("n_rows"))
+def tuning_medians(scores: DataFrame, columns: tuple[str, ...], stages: StageTables) -> DataFrame:
+    """Exact median of sweep diagnostics per model; a model's rows may spread over many tasks."""
+    table = scores.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    for c in columns:
+        median = percentiles(stages, scores, ["model_name"], c, (0.5,), f"medians-{c}")
+        table = table.join(median.select("model_name", F.col("value").alias(f"median_{c}")),
+                           "model_name", "left")
+    return table.select("model_name", *[f"median_{c}" for c in columns], "n_rows")
 
 
 def check_sweep_policy(sweeps: DataFrame) -> DataFrame:
