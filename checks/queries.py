@@ -132,10 +132,11 @@ def _bronze(run: Run) -> DataFrame:
 
 def _day_table(run: Run, name: str, df: Callable[[], DataFrame]) -> str:
     """Write a day-partitioned table once per run and return its path."""
-    path = run.tables.path(f"days_{name}")
-    if name not in run.tables._written:
+    folder = f"days_{name}"
+    path = run.tables.path(folder)
+    if folder not in run.tables._written:
         tables.write_day_partitions(df(), path)
-        run.tables._written.add(name)
+        run.tables._written.add(folder)
     return path
 
 
@@ -144,7 +145,7 @@ SELECT underlying_symbol, quote_date, count(*) AS n_rows, sum(vega_1545) AS vega
 FROM flagged GROUP BY ALL""")
 def _read_panel(run: Run) -> DataFrame:
     """Partitioned write, then a read of all day folders."""
-    path = _day_table(run, "silver", run.silver)
+    path = _day_table(run, "silver", run.flagged)
     return tables.read_panel(run.tables.spark, path).groupBy(*N.DAY).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("vega_1545").alias("vega"))
 

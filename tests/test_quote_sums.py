@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks import view
+from checks import queries, view
 from checks.queries import SETTINGS
 from optionlake.operators import panel, surface
 from optionlake.operators.contracts import ContractError
@@ -40,3 +40,10 @@ def test_unusable_inputs_stop_the_sums(spark, monkeypatch):
         "is_valid_observation", F.lit(True)))
     with pytest.raises(ContractError, match="unusable input"):
         run.gold()
+
+
+def test_panel_is_read_after_its_quotes_are_stored(spark):
+    run = queries.run_for(spark, SMALL)
+    quotes = run.silver().count()
+    read = queries.queries()["read_panel"](spark, SMALL)
+    assert read.agg(F.sum("n_rows")).first()[0] == quotes
