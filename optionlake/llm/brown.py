@@ -209,11 +209,14 @@ class Classes:
         return np.where(found, own, self.shape_classes[shape]), found
 
 
-def _contexts(known: Classes, fixed: np.ndarray, count: int):
+def _contexts(known: Classes, fixed: np.ndarray, count: int, joint: bool = False):
     """(word, slot, n) of words not ``fixed`` (sorted): the class before (slot < count) or after.
 
-    Rows of slot 2 * count hold the class pairs of all tokens instead, by number of the pair.
+    Joint slots stand for both neighbours (before * count + after), so an occurrence is one row.
+    Rows of the slot that follows hold the class pairs of all tokens instead, by number of the pair.
     """
+    slots = count * count if joint else 2 * count
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(count * count, np.int64)
         for batch in batches:
@@ -225,16 +228,19 @@ def _contexts(known: Classes, fixed: np.ndarray, count: int):
                 # a word is never the last token of a text
                 inner = np.flatnonzero(~_lookup(fixed, hashes)[1] & (hashes != END))
                 words, at = np.unique(hashes[inner], return_inverse=True)
-                keys = np.concatenate([at * 2 * count + before[inner],
-                                       at * 2 * count + count + of[inner + 1]])
+                if joint:
+                    keys = at * slots + before[inner] * count + of[inner + 1]
+                else:
+                    keys = np.concatenate([at * slots + before[inner],
+                                           at * slots + count + of[inner + 1]])
                 keys, n = np.unique(keys, return_counts=True)
                 for i in range(0, len(keys), 1 << 16):
                     part = keys[i:i + (1 << 16)]
-                    yield pa.record_batch({"word": words[part // (2 * count)].view(np.int64),
-                                           "slot": (part % (2 * count)).astype(np.int32),
+                    yield pa.record_batch({"word": words[part // slots].view(np.int64),
+                                           "slot": (part % slots).astype(np.int32),
                                            "n": n[i:i + (1 << 16)]})
         at = np.flatnonzero(pairs)
-        yield pa.record_batch({"word": at, "slot": np.full(len(at), 2 * count, np.int32),
+        yield pa.record_batch({"word": at, "slot": np.full(len(at), slots, np.int32),
                                "n": pairs[at]})
     return build
 
@@ -250,16 +256,24 @@ def place(contexts: np.ndarray, between: np.ndarray, smoothing: float) -> np.nda
     return gain.argmax(1)
 
 
+def _neighbours(seen: pa.ListArray, count: int) -> np.ndarray:
+    """Counts of classes before and after (2 C columns) from lists of joint slots with their counts."""
+    row = np.repeat(np.arange(len(seen)), seen.value_lengths().to_numpy())
+    flat = seen.flatten().to_numpy()
+    slot, n = flat & 0xFFFF, flat >> 16
+    known = slot < count * count
+    row, slot, n = row[known] * 2 * count, slot[known], n[known]
+    size = len(seen) * 2 * count
+    counts = np.bincount(row + slot // count, n, size) + np.bincount(row + count + slot % count, n, size)
+    return counts.reshape(len(seen), 2 * count)
+
+
 def _placed(between: np.ndarray, smoothing: float):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("seen")
-            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            flat = lists.flatten()
-            counts = np.zeros((batch.num_rows, 2 * len(between) + 1))
-            counts[row, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
+            counts = _neighbours(batch.column("seen"), len(between))
             yield pa.record_batch({"word": batch.column("word"), "class": place(
-                counts[:, :-1], between, smoothing).astype(np.int32)})
+                counts, between, smoothing).astype(np.int32)})
     return build
 
 
@@ -278,6 +292,8 @@ def train(spark: SparkSession, docs: DataFrame, settings: BrownSettings,
           stages: StageTables) -> tuple[BrownModel, DataFrame]:
     """The model of the texts of ``docs``, and the table of known words (word, n, class)."""
     texts, classes = docs.select("text"), settings.classes
+    if not 2 <= classes <= 255:
+        raise ValueError("classes must be 2 to 255: a pair of them is a 16-bit slot")
     counts = stages.get("counts", lambda: texts.mapInArrow(
         _word_counts(settings.shapes), "word long, shape long, n long").groupBy("word").agg(
             F.sum("n").alias("n"), F.first("shape").alias("shape")))
@@ -297,18 +313,21 @@ def train(spark: SparkSession, docs: DataFrame, settings: BrownSettings,
         "fixed": np.append(of[:len(units.words)], of[-1]).astype(np.int32)}))
     known = Classes(units, of, units.words, of[:len(units.words)])
     for number in range(settings.rounds):
-        # few rows of a word meet before the shuffle, so they are added up after it only
+        # few rows of a word meet before the shuffle, so they are added up after it only; a list
+        # entry is n * 2**16 + slot
         seen = stages.get(f"contexts-{number}", lambda k=known: texts.mapInArrow(
-            _contexts(k, units.words, classes), "word long, slot int, n long").repartition(
+            _contexts(k, units.words, classes, joint=True), "word long, slot int, n long").repartition(
                 "word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(
-                    F.collect_list(F.struct("slot", "n")).alias("seen")))
+                    F.collect_list(F.shiftleft("n", 16).bitwiseOR(F.col("slot"))).alias("seen")))
+        slot, total_slot = F.col("entry").bitwiseAND(0xFFFF), classes * classes
         pairs = seen.filter(F.col("word").between(0, classes * classes - 1)).select(
-            "word", F.inline("seen")).filter(F.col("slot") == 2 * classes).toArrow()
+            "word", F.explode("seen").alias("entry")).filter(slot == total_slot).select(
+                "word", F.shiftright("entry", 16).alias("n")).toArrow()
         between = np.zeros(classes * classes)
         between[pairs["word"].to_numpy()] = pairs["n"].to_numpy()
         between = between.reshape(classes, classes)
         words = stages.get(f"words-{number}", lambda s=seen, b=between: counts.select("word", "n").join(
-            s.filter(F.exists("seen", lambda x: x["slot"] < 2 * classes)).mapInArrow(
+            s.filter(F.exists("seen", lambda x: x.bitwiseAND(0xFFFF) < total_slot)).mapInArrow(
                 _placed(b, settings.smoothing), "word long, class int"), "word", "left").join(
             F.broadcast(fixed), "word", "left").select(
                 "word", "n", F.coalesce("fixed", "class").alias("class")))

@@ -693,6 +693,31 @@ def test_brown_contexts_of_words():
             assert sum(out[key, x] for x in slots) == (0 if word in fixed else n)
 
 
+def test_brown_contexts_take_one_row_an_occurrence():
+    """Joint slots give the counts of the classes before and after, in half of the rows."""
+    rng = np.random.default_rng(11)
+    texts_ = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 9))) for _ in range(80)]
+    known = brown.Classes(brown.Units(np.empty(0, np.uint64), 4), np.arange(5) % 3,
+                          np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def rows(joint):
+        found = [pa.record_batch({"text": pa.array([t])}) for t in texts_]
+        return [r for b in brown._contexts(known, np.empty(0, np.uint64), 3, joint)(iter(found))
+                for r in b.to_pylist()]
+
+    apart, both = collections.Counter(), collections.defaultdict(list)
+    for r in (one := rows(False)):
+        if r["slot"] < 6:
+            apart[r["word"], r["slot"]] += r["n"]
+    for r in (two := rows(True)):
+        both[r["word"]].append(r["n"] << 16 | r["slot"])
+    assert sum(r["slot"] < 9 for r in two) < 0.6 * sum(r["slot"] < 6 for r in one)
+    assert [(r["word"], r["n"]) for r in one if r["slot"] == 6] == [
+        (r["word"], r["n"]) for r in two if r["slot"] == 9]
+    counts = brown._neighbours(pa.array(both.values(), pa.list_(pa.int64())), 3)
+    assert all(counts[i, x] == apart[word, x] for i, word in enumerate(both) for x in range(6))
+
+
 def test_exchange_ends_where_no_move_helps():
     import numpy as np
 
