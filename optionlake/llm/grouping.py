@@ -1,27 +1,33 @@
 """Links inside candidate buckets and the groups they make, without emitting all pairs.
 
-Distances 1 - J obey the triangle inequality (J: Jaccard similarity, plain or weighted). In each
-round every bucket names leaders (one, then 4, 16, ...) and compares its members with them only.
-Members that reach the threshold are linked to a leader. One that stays below it can reach a
-member linked to that leader only if its own similarity to the leader is near enough, so just
-those pairs are compared, and only where the links of all buckets so far leave the two in
-different components. The members below the threshold for every leader go on to the next round,
-from buckets that still hold several components. Buckets rank their members in four different
-orders, so that a large group has leaders from several places and its links soon join it up. No
-pair of a bucket that reaches the threshold is lost, other than between nodes which are already
-connected.
+Every bucket first compares its members with one leader, the member that meets the most others over
+all its buckets: it is likely to be the middle of a group. The links join most of a group up. After that only
+pairs of different groups matter, in buckets that still hold several. Four more leaders each and
+then all such pairs are compared, but only pairs that an upper bound of their similarity lets pass:
+each node has a bitmap of its hashed features, and a bit that one node has alone is a feature
+that the other lacks. The bound is part of the join, so pairs below it are never written, shuffled or
+verified, and in the last step a pair comes from its first common bucket only. No pair of a bucket
+that reaches the threshold is lost, other than between nodes which are already connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optionlake.sources.stages import StageTables
 
+BITS = 2048
+#: What ``summarise`` of ``bucket_links`` returns.
+SUMMARY = "node binary, weight double, spare double, bits array<long>"
+_LEADERS = 4
+_ROUNDING = 0.001
+
 
 def components(stages: StageTables, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): component is the smallest node that is connected with the node.
@@ -59,56 +65,93 @@ def _star(table: DataFrame) -> DataFrame:
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def summary(nodes: pa.Array, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """Rows of SUMMARY from the distinct features of each row and their weights of 1 or more.
+
+    ``spare`` is the weight less the number of bits set: two nodes share at most the smaller spare and
+    one for each common bit.
+    """
+    keys = np.unique(rows.astype(np.uint64) * np.uint64(BITS) + ids % np.uint64(BITS))
+    words = (keys >> np.uint64(6)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else words
+    bits = np.zeros(len(nodes) * (BITS // 64), np.uint64)
+    if len(first):
+        bits[words[first]] = np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(63)), first)
+    total = np.bincount(rows, weights, len(nodes))
+    ones = np.bincount((keys // np.uint64(BITS)).astype(np.int64), minlength=len(nodes))
+    ends = np.arange(len(nodes) + 1, dtype=np.int32) * (BITS // 64)
+    return pa.record_batch({"node": nodes, "weight": total, "spare": total - ones,
+                            "bits": pa.ListArray.from_arrays(ends, bits.view(np.int64))})
+
+
+def _may_reach(threshold: float) -> str:
+    """Whether x and y, rows with a SUMMARY, can share enough weight; never false for a link."""
+    common = " + ".join(f"bit_count(get(x.bits, {i}) & get(y.bits, {i}))" for i in range(BITS // 64))
+    part = threshold / (1 + threshold)
+    return (f"x.group <> y.group and least(x.weight, y.weight) >= {part!r}D * (x.weight + y.weight)"
+            f" - {_ROUNDING}D and {common} + least(x.spare, y.spare) >= "
+            f"{part!r}D * (x.weight + y.weight) - {_ROUNDING}D")
+
+
+def _ordered(left: str, right: str):
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
 def bucket_links(
     stages: StageTables,
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     threshold: float,
     name: str,
+    summarise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) from ``members`` (bucket, node), a row once.
 
-    ``verify`` takes pairs (a, b) and returns (a, b, sim) with their similarity.
+    ``verify`` takes pairs (a, b) and returns (a, b, sim) with their similarity, shared by joint
+    weight. ``summarise`` takes nodes (node) and returns SUMMARY, made by ``summary``; without it no pair is
+    excluded by the bound.
     """
-    groups, number = None, 0
-    stars = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    order = "xxhash64({}, bucket & 3)"
-    while True:
-        if number == 0:
-            leaders = members.groupBy("bucket").agg(
-                F.min_by("node", F.expr(order.format("node"))).alias("leader"),
-                F.count("*").alias("n")).filter("n > 1").drop("n")
-        else:
-            rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.expr(order.format("node"))))
-            leaders = members.withColumn("rank", rank).filter(F.col("rank") <= 4 ** number).select(
-                "bucket", F.col("node").alias("leader"))
-        led = stages.get(f"{name}-led-{number}", lambda: members.join(leaders, "bucket").filter(
-            f"{order.format('node')} > {order.format('leader')}").select(
-                "*", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
-        if led.isEmpty():
-            break
-        scored = stages.get(f"{name}-scored-{number}",
-                            lambda: verify(led.select("a", "b").distinct()))
-        found = scored.filter(F.col("sim") >= threshold).select("a", "b")
-        groups = components(stages, stars.union(found), f"{name}-groups-{number}")
-        known = stages.get(f"{name}-known-{number}", lambda: led.join(scored, ["a", "b"]).join(
-            groups, "node", "left").select("bucket", "leader", "node", "sim",
-                                           F.coalesce("component", "node").alias("group")))
-        ring = known.filter((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))
-        ring = ring.withColumnsRenamed({"node": "a", "sim": "sim_a", "group": "group_a"})
-        near = known.filter(F.col("sim") >= threshold).withColumnsRenamed(
-            {"node": "b", "sim": "sim_b", "group": "group_b"})
-        across = ring.join(near, ["bucket", "leader"]).filter(
-            (F.col("sim_b") - F.col("sim_a") <= 1 - threshold) & (F.col("group_a") != F.col("group_b")))
-        more = stages.get(f"{name}-ring-{number}", lambda: verify(
-            across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
-            more.filter(F.col("sim") >= threshold).select("a", "b"))
-        done = known.filter(F.col("sim") >= threshold).select("bucket", "node").union(
-            known.select("bucket", F.col("leader").alias("node"))).distinct()
-        left = known.select("bucket", "node", "group").distinct().join(
-            done, ["bucket", "node"], "left_anti")
-        mixed = left.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-        members = left.join(mixed.filter("low < high"), "bucket", "left_semi").select("bucket", "node")
-        number += 1
-    return components(stages, stars, f"{name}-all")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = stages.get(f"{name}-ranked", lambda: members.join(met, "node").select(
+        "bucket", "node", "met"))
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("leader")).select(
+        "bucket", F.col("leader.node").alias("leader"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verify(pairs).filter(F.col("sim") >= threshold).select("a", "b")
+
+    def mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "node", "met").join(
+            groups.withColumnRenamed("component", "group"), "node", "left").withColumn(
+                "group", F.coalesce("group", "node"))
+        several = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        return rows.join(several.filter("low < high"), "bucket", "left_semi")
+
+    led = stages.get(f"{name}-led", lambda: links(ranked.join(leaders, "bucket").filter(
+        "node <> leader").select(*_ordered("node", "leader")).distinct()))
+    groups = components(stages, led, f"{name}-groups-0")
+    left = stages.get(f"{name}-mixed-0", lambda: mixed(ranked, groups))
+    if left.isEmpty():
+        return groups
+    nodes = left.select("node").distinct()
+    about = stages.get(f"{name}-about", lambda: summarise(nodes) if summarise else nodes)
+    apart = _may_reach(threshold) if summarise else "x.group <> y.group"
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("met"), "node"))
+    some = left.withColumn("rank", rank).filter(F.col("rank") <= _LEADERS).join(about, "node")
+    more = stages.get(f"{name}-more", lambda: links(some.alias("x").join(
+        left.join(about, "node").alias("y"), F.expr(f"x.bucket = y.bucket and {apart}")).select(
+            *_ordered("x.node", "y.node")).distinct()))
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = components(stages, stars.union(more), f"{name}-groups-1")
+    rest = stages.get(f"{name}-mixed-1", lambda: mixed(left, groups))
+    if rest.isEmpty():
+        return groups
+    own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own")).join(about, "node")
+    rows = rest.select("bucket", "node", "group").join(own, "node")
+    last = stages.get(f"{name}-last", lambda: links(rows.alias("x").join(rows.alias("y"), F.expr(
+        f"x.bucket = y.bucket and x.node < y.node and {apart} "
+        "and x.bucket = array_min(array_intersect(x.own, y.own))")).select(
+            F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stages, stars.union(last), f"{name}-all")

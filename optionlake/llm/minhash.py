@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optionlake.llm import textbytes
-from optionlake.llm.grouping import bucket_links
+from optionlake.llm.grouping import SUMMARY, bucket_links, summary
 from optionlake.sources.stages import StageTables
 
 FEATURE_BITS = 20
 _ID_BITS = 48
 _LOW = np.uint64(0xFFFF)
+_SUMMARY_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -180,6 +181,18 @@ def _similarities(idf: np.ndarray):
     return build
 
 
+def _summaries(idf: np.ndarray):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SUMMARY_ROWS):
+                part = batch.slice(at, _SUMMARY_ROWS)
+                lists = [np.frombuffer(x, np.uint64) for x in part.column("ids").to_pylist()]
+                rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                rows, ids, weights = weighted(rows, np.concatenate(lists), idf)
+                yield summary(part.column("node"), rows, ids, weights.astype(np.float64))
+    return build
+
+
 def _marked(spark: SparkSession, docs: DataFrame, settings: NearSettings) -> DataFrame:
     """The rows of ``near_duplicates`` and, first, the node of their text."""
     stages = StageTables(spark)
@@ -202,7 +215,10 @@ def _marked(spark: SparkSession, docs: DataFrame, settings: NearSettings) -> Dat
             "a", "b", "ids_a", "ids_b").mapInArrow(
                 _similarities(idf), "a binary, b binary, sim double")
 
-    groups = bucket_links(stages, members, verify, settings.threshold, "near")
+    def summarise(nodes: DataFrame) -> DataFrame:
+        return lists.join(nodes, "node", "left_semi").mapInArrow(_summaries(idf), SUMMARY)
+
+    groups = bucket_links(stages, members, verify, settings.threshold, "near", summarise)
     placed = keyed.select("doc_id", "node").join(groups, "node", "left").withColumn(
         "class", F.coalesce("component", "node"))
     sizes = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"),
