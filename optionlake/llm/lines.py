@@ -24,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optionlake.llm import textbytes
-from optionlake.llm.grouping import bucket_links
+from optionlake.llm.grouping import SUMMARY, bucket_links, summary
 from optionlake.sources.stages import StageTables
 
 _ROW_BITS = np.uint64(48)
+#: Bytes of the pairs whose lines are held together; a longer pair is held alone.
+_PAIR_BYTES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -100,23 +102,46 @@ def _gram_sets(chunk: textbytes.Chunk, width: int) -> np.ndarray:
     return np.unique(rows << _ROW_BITS | ids >> np.uint64(16))
 
 
+def _sets_by_row(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct 48-bit grams of each text."""
+    found = []
+    for _, _, chunk in textbytes.chunks(texts):
+        keys = _gram_sets(chunk, width)
+        at = np.searchsorted(keys, np.arange(chunk.rows + 1, dtype=np.uint64) << _ROW_BITS)
+        ids = keys & np.uint64((1 << 48) - 1)
+        found += [ids[low:high] for low, high in zip(at[:-1], at[1:], strict=True)]
+    return found
+
+
 def _similarities(width: int):
-    """(a, b, sim) from pairs with both lines, many pairs at once."""
+    """(a, b, sim) from pairs with both lines; a line that returns in a run is cut into grams once."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(f"line_{x}") for x in "ab")
-            sims = np.zeros(batch.num_rows)
-            for low, high, chunk in textbytes.chunks(left):
-                # lines of one pair may differ in length, so the right side has chunks of its own
-                for skip, stop, other in textbytes.chunks(right.slice(low, high - low)):
-                    one = textbytes.Chunk(chunk.data[chunk.bounds[skip]:chunk.bounds[stop]],
-                                          chunk.bounds[skip:stop + 1] - chunk.bounds[skip])
-                    of_a, of_b = _gram_sets(one, width), _gram_sets(other, width)
-                    both = np.intersect1d(of_a, of_b, assume_unique=True)
-                    n_a, n_b, n = (np.bincount((x >> _ROW_BITS).astype(np.int64), minlength=one.rows)
-                                   for x in (of_a, of_b, both))
-                    sims[low + skip:low + stop] = n / (n_a + n_b - n)
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "sim": sims})
+            sizes = sum(np.diff(textbytes.buffers(batch.column(f"line_{x}"))[1]) for x in "ab")
+            run = np.cumsum(sizes) // _PAIR_BYTES
+            cuts = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(start, stop - start)
+                texts = pa.concat_arrays([part.column("line_a"), part.column("line_b")]).dictionary_encode()
+                sets = _sets_by_row(texts.dictionary, width)
+                code = texts.indices.to_numpy()
+                sims = np.zeros(part.num_rows)
+                for i, (x, y) in enumerate(zip(code[:len(sims)], code[len(sims):], strict=True)):
+                    x, y = sets[x], sets[y]
+                    n = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+                    sims[i] = n / (len(x) + len(y) - n)
+                yield pa.record_batch({"a": part.column("a"), "b": part.column("b"), "sim": sims})
+    return build
+
+
+def _summaries(width: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, chunk in textbytes.chunks(batch.column("line")):
+                keys = _gram_sets(chunk, width)
+                rows = (keys >> _ROW_BITS).astype(np.int64)
+                yield summary(batch.column("node").slice(low, high - low), rows,
+                              keys & np.uint64((1 << 48) - 1), np.ones(len(keys)))
     return build
 
 
@@ -140,7 +165,10 @@ def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
         return pairs.join(right, "b").join(left, "a").select("a", "b", "line_a", "line_b").mapInArrow(
             _similarities(settings.gram), "a binary, b binary, sim double")
 
-    return bucket_links(stages, members, verify, settings.threshold, "lines")
+    def summarise(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(_summaries(settings.gram), SUMMARY)
+
+    return bucket_links(stages, members, verify, settings.threshold, "lines", summarise)
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame,
