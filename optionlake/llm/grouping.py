@@ -1,9 +1,10 @@
 """Links inside candidate buckets and the groups they make, without emitting all pairs.
 
 Every bucket first compares its members with one leader, the member that meets the most others over
-all its buckets: it is likely to be the middle of a group. The links join most of a group up. After that only
-pairs of different groups matter, in buckets that still hold several. Four more leaders each and
-then all such pairs are compared, but only pairs that an upper bound of their similarity lets pass:
+all its buckets: it is likely to be the middle of a group. The links join most of a group up, and a
+bucket of two is done. After that only pairs of different groups matter, in larger buckets that still
+hold several. Four more leaders each and then, in buckets of more than five, all such pairs are
+compared, but only pairs that an upper bound of their similarity lets pass:
 each node has a bitmap of its hashed features, and a bit that one node has alone is a feature
 that the other lacks. The bound is part of the join, so pairs below it are never written, shuffled or
 verified, and in the last step a pair comes from its first common bucket only. No pair of a bucket
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from optionlake.deploy import RUNTIME_OPTIONS
+from optionlake.llm import textbytes
 from optionlake.sources.stages import StageTables
 
 BITS = 2048
@@ -71,7 +74,7 @@ def summary(nodes: pa.Array, rows: np.ndarray, ids: np.ndarray, weights: np.ndar
     ``spare`` is the weight less the number of bits set: two nodes share at most the smaller spare and
     one for each common bit.
     """
-    keys = np.unique(rows.astype(np.uint64) * np.uint64(BITS) + ids % np.uint64(BITS))
+    keys = textbytes.distinct(rows.astype(np.uint64) * np.uint64(BITS) + ids % np.uint64(BITS))
     words = (keys >> np.uint64(6)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else words
     bits = np.zeros(len(nodes) * (BITS // 64), np.uint64)
@@ -111,10 +114,14 @@ def bucket_links(
     weight. ``summarise`` takes nodes (node) and returns SUMMARY, made by ``summary``; without it no pair is
     excluded by the bound.
     """
+    # the bound is a long expression: inlined in a join it is never compiled by the JVM
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    stages.spark.conf.set(limit, RUNTIME_OPTIONS[limit])
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
-    ranked = stages.get(f"{name}-ranked", lambda: members.join(met, "node").select(
-        "bucket", "node", "met"))
+    sized = stages.get(f"{name}-sized", lambda: members.join(sizes, "bucket"))
+    met = sized.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = stages.get(f"{name}-ranked", lambda: sized.join(met, "node").select(
+        "bucket", "node", "n", "met"))
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("leader")).select(
         "bucket", F.col("leader.node").alias("leader"))
 
@@ -122,16 +129,16 @@ def bucket_links(
         return verify(pairs).filter(F.col("sim") >= threshold).select("a", "b")
 
     def mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        rows = rows.select("bucket", "node", "met").join(
+        rows = rows.select("bucket", "node", "n", "met").join(
             groups.withColumnRenamed("component", "group"), "node", "left").withColumn(
                 "group", F.coalesce("group", "node"))
         several = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"))
         return rows.join(several.filter("low < high"), "bucket", "left_semi")
 
     led = stages.get(f"{name}-led", lambda: links(ranked.join(leaders, "bucket").filter(
-        "node <> leader").select(*_ordered("node", "leader")).distinct()))
+        "node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
     groups = components(stages, led, f"{name}-groups-0")
-    left = stages.get(f"{name}-mixed-0", lambda: mixed(ranked, groups))
+    left = stages.get(f"{name}-mixed-0", lambda: mixed(ranked.filter("n > 2"), groups))
     if left.isEmpty():
         return groups
     nodes = left.select("node").distinct()
@@ -144,7 +151,8 @@ def bucket_links(
             *_ordered("x.node", "y.node")).distinct()))
     stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = components(stages, stars.union(more), f"{name}-groups-1")
-    rest = stages.get(f"{name}-mixed-1", lambda: mixed(left, groups))
+    rest = stages.get(f"{name}-mixed-1", lambda: mixed(
+        left.filter(F.col("n") > _LEADERS + 1), groups))
     if rest.isEmpty():
         return groups
     own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own")).join(about, "node")

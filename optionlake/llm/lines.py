@@ -58,11 +58,23 @@ def grams(chunk: textbytes.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     chars = np.diff(at)
     counts = np.where(chars > 0, np.maximum(chars - (width - 1), 1), 0)
     begin = np.concatenate([[0], np.cumsum(counts)])
-    rows = np.repeat(np.arange(chunk.rows), counts)
-    low = np.arange(begin[-1]) - begin[:-1][rows] + at[:-1][rows]
-    high = np.minimum(low + width, at[1:][rows])
+    rolling = textbytes.Rolling(chunk.data + np.uint16(1))
     edges = np.append(starts, len(chunk.data))
-    return textbytes.Rolling(chunk.data + np.uint16(1)).spans(edges[low], edges[high]), begin
+    # the grams at all characters, less those that run into the next line
+    inside = np.ones(max(len(edges) - width, 0), bool)
+    for k in range(1, width):
+        ends = at[1:] - k
+        inside[ends[(ends >= 0) & (ends < len(inside))]] = False
+    plain = len(starts) == len(chunk.data)
+    ids = (rolling.windows(width) if plain else rolling.spans(edges[:-width], edges[width:]))[inside]
+    short = np.flatnonzero((chars > 0) & (chars < width))
+    if len(short):
+        long = np.ones(begin[-1], bool)
+        long[begin[:-1][short]] = False
+        full, ids = ids, np.empty(begin[-1], np.uint64)
+        ids[long] = full
+        ids[~long] = rolling.spans(edges[at[:-1][short]], edges[at[1:][short]])
+    return ids, begin
 
 
 def _band_rows(settings: LineSettings):
@@ -99,7 +111,7 @@ def _gram_sets(chunk: textbytes.Chunk, width: int) -> np.ndarray:
     """Sorted distinct (row, 48-bit gram) keys of a chunk."""
     ids, begin = grams(chunk, width)
     rows = np.repeat(np.arange(chunk.rows, dtype=np.uint64), np.diff(begin))
-    return np.unique(rows << _ROW_BITS | ids >> np.uint64(16))
+    return textbytes.distinct(rows << _ROW_BITS | ids >> np.uint64(16))
 
 
 def _sets_by_row(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -151,11 +163,14 @@ def line_groups(spark: SparkSession, docs: DataFrame, settings: LineSettings,
     # short keys find the candidates in one shuffle by bucket; only lines that meet another are kept
     found = _lines(docs).select(F.xxhash64("line").alias("key"), "line")
     keyed = found.mapInArrow(_band_rows(settings), "bucket long, key long").repartition("bucket")
-    met = stages.get("met", lambda: keyed.distinct().withColumn(
-        "n", F.count("*").over(W.partitionBy("bucket"))).filter("n > 1").drop("n"))
+    every = W.partitionBy("bucket")
+    met = stages.get("met", lambda: keyed.withColumns(
+        {"low": F.min("key").over(every), "high": F.max("key").over(every)}).filter(
+            "low < high").select("bucket", "key").distinct())
     # from here on a line is known by its MD5; lines that share a key are told apart again
     texts = stages.get("texts", lambda: found.join(
-        met.select("key").distinct(), "key", "left_semi").distinct().select("key", _node(), "line"))
+        met.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").distinct().select(
+            "key", _node(), "line"))
     members = stages.get("members", lambda: met.join(texts.select("key", "node"), "key").select(
         "bucket", "node"))
 
@@ -178,17 +193,16 @@ def removed_lines(spark: SparkSession, docs: DataFrame,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     groups = line_groups(spark, rows, settings, stages)
-    places = stages.get("places", lambda: _lines(rows).select(
-        _node(), F.struct("doc_id", "text_key", "at").alias("place")).distinct())
-    firsts = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.join(groups, "node", "left")
-    alone = firsts.filter("component is null and n > 1").select("node", F.col("first").alias("keeper"))
-    grouped = firsts.filter("component is not null")
-    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
-    keepers = alone.union(grouped.select("node", "component").join(keepers, "component").select(
-        "node", "keeper"))
-    return places.join(keepers, "node").filter("not (place <=> keeper)").groupBy(
-        "place.doc_id", "place.text_key").agg(F.sort_array(F.collect_list("place.at")).alias("removed"))
+    places = stages.get("places", lambda: _lines(rows).select(_node(), "doc_id", "text_key", "at"))
+    # only lines with a copy or a group can go; a repeated row makes copies too, dropped below
+    copied = places.groupBy("node").count().filter("count > 1").select("node")
+    wanted = copied.join(groups, "node", "full").select(
+        "node", F.coalesce("component", "node").alias("class"))
+    found = stages.get("found", lambda: places.join(wanted, "node").select(
+        "class", F.struct("doc_id", "text_key", "at").alias("place")))
+    keepers = found.groupBy("class").agg(F.min("place").alias("keeper"))
+    return found.join(keepers, "class").filter("not (place <=> keeper)").groupBy(
+        "place.doc_id", "place.text_key").agg(F.sort_array(F.collect_set("place.at")).alias("removed"))
 
 
 def _marks():

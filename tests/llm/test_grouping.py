@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from optionlake.llm import grouping
+from optionlake.llm import grouping, textbytes
 from optionlake.sources.stages import StageTables
 
 
@@ -62,3 +62,38 @@ def test_outliers_of_a_group_are_not_compared_with_all_its_members(spark):
     near = {int.from_bytes(r.node, "big") for r in groups if int.from_bytes(r.component, "big") == 1}
     assert near == set(range(1, 160, 2)) and len(groups) == 80
     assert sum(verified) < 2 * 2 * len(rows)
+
+
+def test_buckets_of_two_are_done_after_the_first_comparison(spark):
+    members = spark.createDataFrame([(b, bytearray([2 * b + i])) for b in range(20) for i in (0, 1)],
+                                    "bucket long, node binary")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.selectExpr("a", "b", "0D as sim")
+
+    def summarise(nodes):
+        raise AssertionError("no bucket has a pair left")
+
+    assert grouping.bucket_links(StageTables(spark), members, verify, 0.8, "t", summarise).isEmpty()
+    assert asked == [20]
+
+
+def test_buckets_of_five_are_done_after_four_leaders(spark):
+    members = spark.createDataFrame([(b, bytearray([8 * b + i])) for b in range(3) for i in range(5)],
+                                    "bucket long, node binary")
+    seen = []
+
+    def verify(pairs):
+        seen.append({frozenset((bytes(r.a), bytes(r.b))) for r in pairs.collect()})
+        return pairs.selectExpr("a", "b", "0D as sim")
+
+    assert grouping.bucket_links(StageTables(spark), members, verify, 0.8, "t").isEmpty()
+    assert len(set().union(*seen)) == 3 * 10 and len(seen) == 2
+
+
+def test_distinct_keys():
+    keys = np.random.default_rng(1).integers(0, 500, 2000).astype(np.uint64) << np.uint64(40)
+    assert textbytes.distinct(keys.copy()).tolist() == sorted(set(keys.tolist()))
+    assert textbytes.distinct(np.empty(0, np.uint64)).tolist() == []
