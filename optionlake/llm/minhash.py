@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,12 +128,12 @@ def feature_weights(texts: int, seen: np.ndarray, strength: float) -> np.ndarray
     return (1 + strength * np.clip(idf, 0, 1)).astype(np.float32)
 
 
-def _band_rows(settings: NearSettings, idf: np.ndarray):
+def _band_rows(settings: NearSettings, idf: Broadcast[np.ndarray]):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node")
             for low, high, chunk in textbytes.chunks(batch.column("text")):
-                rows, ids, weights = weighted(*shingles(chunk, settings.width), idf)
+                rows, ids, weights = weighted(*shingles(chunk, settings.width), idf.value)
                 if not len(rows):
                     continue
                 at, samples = sketch(rows, ids, weights, settings.bands * settings.rows)
@@ -158,10 +159,10 @@ def _shingle_lists(width: int):
     return build
 
 
-def _similarities(idf: np.ndarray):
+def _similarities(idf: Broadcast[np.ndarray]):
     def weigh(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(packed, np.uint64)
-        _, ids, weights = weighted(np.zeros(len(ids), np.int64), ids, idf)
+        _, ids, weights = weighted(np.zeros(len(ids), np.int64), ids, idf.value)
         return ids, weights.astype(np.float64)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +182,14 @@ def _similarities(idf: np.ndarray):
     return build
 
 
-def _summaries(idf: np.ndarray):
+def _summaries(idf: Broadcast[np.ndarray]):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _SUMMARY_ROWS):
                 part = batch.slice(at, _SUMMARY_ROWS)
                 lists = [np.frombuffer(x, np.uint64) for x in part.column("ids").to_pylist()]
                 rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                rows, ids, weights = weighted(rows, np.concatenate(lists), idf)
+                rows, ids, weights = weighted(rows, np.concatenate(lists), idf.value)
                 yield summary(part.column("node"), rows, ids, weights.astype(np.float64))
     return build
 
@@ -198,7 +199,9 @@ def _marked(spark: SparkSession, docs: DataFrame, settings: NearSettings) -> Dat
     stages = StageTables(spark)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("node", F.unhex(F.md5("text")))
-    idf = feature_weights(*document_frequencies(rows, settings.width), settings.idf_strength)
+    # one copy for all steps; inside a function each step would send its own
+    idf = spark.sparkContext.broadcast(feature_weights(
+        *document_frequencies(rows, settings.width), settings.idf_strength))
     texts = keyed.filter("text is not null").select("node", "text")
     members = stages.get("members", lambda: texts.mapInArrow(
         _band_rows(settings, idf), "bucket long, node binary").distinct())

@@ -353,6 +353,14 @@ def test_near_duplicates_match_all_pairs(spark, small):
     assert len(extra) > 3 and all(got[i] != i for i, _ in extra)
 
 
+def test_near_duplicates_send_their_weights_once(spark, small, monkeypatch):
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast",
+                        lambda self, value: sent.append(len(value)) or send(self, value))
+    assert minhash.near_duplicates(spark, small).count() == small.count()
+    assert sent == [1 << minhash.FEATURE_BITS]
+
+
 def test_near_duplicates_edges(spark, edges):
     got = {}
     for r in minhash.near_duplicates(spark, edges).collect():
